@@ -32,10 +32,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(pack_documents(table(spark, sf_dir, "documents"), width=1024))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    root = write_archives(table(spark, sf_dir, "pages"))
+    return read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import host_quality
+
+    return host_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": op3_sharding,
         "op5_packing": op5_packing,
+        "op6_warc": op6_warc,
+        "op10_quality": op10_quality,
     }
 
 
