@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -39,6 +45,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import host_quality
 
@@ -47,9 +59,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lines": op1_lines,
         "op3_sharding": op3_sharding,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
+        "op7_neardup": op7_neardup,
         "op10_quality": op10_quality,
     }
 
