@@ -111,7 +111,8 @@ def write_archives(
     behind. Names, order, headers and bytes depend on the rows and their partitioning only.
 
     Of records with equal payloads the one with the largest page_id (the last row of it, if it repeats) is the
-    response, the others are revisits that refer to it. A null html is an empty payload, a null url leaves out the
+    response, the others are revisits that refer to it; a small row that says so goes ahead of each page that has copies, so
+    the pages themselves are shuffled once. A null html is an empty payload, a null url leaves out the
     target, a null page_id sorts first. An empty table gives a folder with an empty manifest. Other columns are not read.
     """
     spark = pages.sparkSession
@@ -133,21 +134,27 @@ def write_archives(
             shard, held = shard + n - 1, shard_bytes
     deal = F.broadcast(spark.createDataFrame(plan or [(0, 0, 1)], "c int, first int, n int"))  # CELLS rows at most
     kept = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("keep")).filter("n > 1").drop("n")
+    told = rows.select("page_id", "row", "digest").join(kept, "digest").select("page_id", "row", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("keep.page_id").alias("keep_id"), F.col("keep.row").alias("keep_row"))
+    pages = rows.select("page_id", "row", "url", "payload", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"))
     dealt = (
-        rows.join(kept, "digest", "left")
+        pages.unionByName(told)
         .withColumn("c", cell)
         .join(deal, "c")
-        .select((F.col("first") + F.pmod("row", "n")).cast("int").alias("shard"), "page_id", "row", "url", "payload", F.col("keep.page_id").alias("keep_id"), F.col("keep.row").alias("keep_row"))
+        .select((F.col("first") + F.pmod("row", "n")).cast("int").alias("shard"), "page_id", "row", "url", "payload", "keep_id", "keep_row")
         .repartition(max(1, shard + 1), "shard")
-        .sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "row")
+        .sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "row", F.col("payload").isNotNull())
     )
     root = (path or scratch(spark, "warc")).rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, done = None, []
+        roller, done, keep = None, [], (None, None, None)
         for batch in batches:
             for i in range(batch.num_rows):
-                s, *rest = (col[i].as_py() for col in batch.columns)
+                s, page_id, row, url, payload, *told = (col[i].as_py() for col in batch.columns)
+                if payload is None:
+                    keep = (row, *told)
+                    continue
+                rest = (page_id, row, url, payload, *(keep[1:] if keep[0] == row else (None, None)))
                 roller = roller or Roller(root, date, level, roll_bytes)
                 done.extend(roller.add(s, page_record(*rest, date, level)))
         if roller is not None:
