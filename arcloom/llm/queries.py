@@ -16,6 +16,13 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import public_file
+    from .pieces import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_file("piece_bpe_32k.model"), check=True)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -60,6 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lines": op1_lines,
+        "op2_pieces": op2_pieces,
         "op3_sharding": op3_sharding,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
