@@ -39,6 +39,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents, with_digest
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lines": op1_lines,
         "op2_pieces": op2_pieces,
         "op3_sharding": op3_sharding,
+        "op4_html": op4_html,
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
         "op7_neardup": op7_neardup,
