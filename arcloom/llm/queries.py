@@ -64,6 +64,12 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import host_quality
 
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
         "op7_neardup": op7_neardup,
+        "op9_neighbours": op9_neighbours,
         "op10_quality": op10_quality,
     }
 
