@@ -64,6 +64,12 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scoring import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": op5_packing,
         "op6_warc": op6_warc,
         "op7_neardup": op7_neardup,
+        "op8_scoring": op8_scoring,
         "op9_neighbours": op9_neighbours,
         "op10_quality": op10_quality,
     }
