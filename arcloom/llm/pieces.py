@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 NEVER = np.int64(1 << 60)
 
 
@@ -80,13 +80,16 @@ class PieceModel:
             at = at[np.argsort(self.hash[at], kind="stable")]
             self.keys.append(self.hash[at])
             self.key_ids.append(at)
-            self.maybe.append(np.zeros(1 << 16, bool))  # by a hash's first 16 bits: most substrings need no search
-            self.maybe[n][self.hash[at] >> np.uint64(48)] = True
+            self.maybe.append(np.zeros(1 << 18, bool))  # by a hash's first 18 bits: most substrings need no search
+            self.maybe[n][self.hash[at] >> np.uint64(46)] = True
         self.unknown_score = float(self.score[own].min()) - 10
         self.memo_key = np.full(1 << 20, -1, np.int64)
         self.memo_ok = np.zeros(1 << 20, bool)
         self.cache: dict[str, list[int]] = {}
-        self.decoded = [self.surface(i) for i in range(len(self.text))]
+        surfaces = [self.surface(i) for i in range(len(self.text))]
+        self.surface_size = np.array([len(x) for x in surfaces], np.int64)
+        self.surface_at = np.cumsum(self.surface_size) - self.surface_size
+        self.surfaces = np.frombuffer(b"".join(surfaces), np.uint8)
 
     def hash_of(self, piece: str) -> np.uint64:
         x = spread(code_points(piece))
@@ -180,7 +183,7 @@ class PieceModel:
                     continue
                 begin = end - width
                 h = prefix[end] - prefix[begin] * self.powers[width]
-                at = np.flatnonzero(self.maybe[width][h >> np.uint64(48)])
+                at = np.flatnonzero(self.maybe[width][h >> np.uint64(46)])
                 k = np.searchsorted(self.keys[width], h[at])
                 found = self.keys[width][np.minimum(k, len(self.keys[width]) - 1)] == h[at] if len(at) else k > 0
                 at, own = at[found], self.key_ids[width][k[found]]
@@ -198,14 +201,16 @@ class PieceModel:
                 at, own = at[better], own[better]
                 top[at], last[end, at], step[end, at] = gain[better], own, width
             best[end] = top
-        out, rows = [[] for _ in range(n)], np.arange(n)
-        end = np.full(n, size)
+        picked, count = np.zeros((size, n), np.int64), 0
+        rows, end, found = np.arange(n), np.full(n, size), np.zeros(n, np.int64)
         while len(rows):
-            for r, p in zip(rows.tolist(), last[end[rows], rows].tolist(), strict=True):
-                out[r].append(p)
+            count += 1
+            picked[size - count, rows] = last[end[rows], rows]
+            found[rows] = count
             end[rows] -= step[end[rows], rows]
             rows = rows[end[rows] > 0]
-        return [x[::-1] for x in out]
+        table = picked[size - count :].T.tolist()
+        return [r[count - k :] for r, k in zip(table, found.tolist(), strict=True)]
 
     def final(self, raw: list[int]) -> list[int]:
         """Unknown characters as bytes, if the model has them."""
@@ -236,38 +241,84 @@ class PieceModel:
         lengths: dict[int, list[str]] = defaultdict(list)
         tails: dict[str, str] = {}
         for c in chunks:
-            word = c.lstrip(SPACE)
-            k = len(c) - len(word)
-            core = c if k <= 1 or not self.bpe or not self.runs else SPACE + word if word else ""
-            tails[c] = core
-            if core and core not in self.cache:
-                lengths[len(core)].append(core)
+            if c[:2] == SPACE * 2 and self.bpe and self.runs:
+                word = c.lstrip(SPACE)
+                tails[c] = SPACE + word if word else ""
+                if word and tails[c] not in self.cache:
+                    lengths[len(word) + 1].append(tails[c])
+            else:
+                lengths[len(c)].append(c)
         for size, words in lengths.items():
             words = list(dict.fromkeys(words))
             for i in range(0, len(words), 50_000):
                 for w, raw in zip(words[i : i + 50_000], self.viterbi(words[i : i + 50_000]), strict=True):
                     self.cache[w] = self.final(raw)
         for c, core in tails.items():
-            if c != core:
-                k = len(c) - len(c.lstrip(SPACE))
-                own = self.cache[core] if core else []
-                alone = bool(own) and own[0] == self.ids[SPACE]
-                self.cache[c] = self.space_run(k) + own[1:] if alone or not own else self.space_run(k - 1) + own
+            k = len(c) - len(c.lstrip(SPACE))
+            own = self.cache[core] if core else []
+            alone = not own or own[0] == self.ids[SPACE]
+            self.cache[c] = self.space_run(k) + own[1:] if alone else self.space_run(k - 1) + own
 
     def encode(self, texts: list[str], most_cached: int = 500_000) -> list[list[int]]:
-        split = [CHUNK.findall((SPACE if self.prefix and t else "") + t.replace(" ", SPACE)) for t in texts]
-        if len(self.cache) > most_cached:
-            self.cache.clear()
-        cache = self.cache
-        self.learn({c for s in split for c in s if c not in cache})
+        """The ids of each text."""
         out = []
-        for s in split:
-            ids: list[int] = []
-            for c in s:
-                ids += cache[c]
-            out.append(ids)
+        for flat, edge in self.encode_slices([[t.encode() for t in texts]], most_cached):
+            out.extend(flat[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True))
         return out
 
+    def encode_slices(self, slices: list[list[bytes]], most_cached: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each slice's texts, one behind the other, and where each text's begin.
+
+        A chunk is a run of spaces and the word behind it; only one of equal chunks is decoded to a string and looked up,
+        and the words that are new to all slices go through one pass of viterbi."""
+        if len(self.cache) > most_cached:
+            self.cache.clear()
+        number: dict[int, int] = {}
+        chunks: list[str] = []
+        placed = []
+        for texts in slices:
+            data, begins = self.padded(texts)
+            space = data == 32
+            start = space.copy()
+            start[1:] &= ~space[:-1]
+            heads = begins[:-1][np.diff(begins) > 0]
+            start[heads] = True
+            at = np.flatnonzero(start)
+            sizes = np.diff(np.append(at, len(data)))
+            if not len(at):
+                placed.append((np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)))
+                continue
+            powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), BASE)]))
+            place = np.arange(len(data)) - np.repeat(at, sizes)
+            keys = np.add.reduceat(BYTE[data] * powers[place], at) ^ sizes.astype(np.uint64)
+            fresh, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            known = np.empty(len(fresh), np.int64)
+            raw = data.tobytes()
+            for i, (k, f) in enumerate(zip(fresh.tolist(), first.tolist(), strict=True)):
+                j = number.get(k)
+                if j is None:
+                    j = number[k] = len(chunks)
+                    text = raw[at[f] : at[f] + sizes[f]].decode().replace(" ", SPACE)
+                    chunks.append(text if self.prefix or at[f] not in heads else text[1:])
+                known[i] = j
+            placed.append((known[back], np.searchsorted(at, begins)))
+        self.learn(c for c in dict.fromkeys(chunks) if c not in self.cache)
+        rows = [self.cache[c] for c in chunks]
+        sizes = np.array([len(r) for r in rows], dtype=np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(sizes.sum()))
+        begin = np.cumsum(sizes) - sizes
+        for own, edge in placed:
+            n = sizes[own]
+            total = np.concatenate([[0], np.cumsum(n)])
+            yield flat[np.repeat(begin[own] - total[:-1], n) + np.arange(total[-1])], total[edge]
+
+    @staticmethod
+    def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts with a space ahead of each that isn't empty, and where they begin. U+2581 is a space, too."""
+        mark = SPACE.encode()
+        parts = [b" " + (t.replace(mark, b" ") if mark in t else t) if t else b"" for t in texts]
+        return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+
     def surface(self, i: int) -> bytes:
         if self.kind[i] == 6:
             return bytes([int(self.text[i][3:5], 16)])
@@ -277,10 +328,18 @@ class PieceModel:
             return " ⁇ ".encode()
         return self.text[i].replace(SPACE, " ").encode()
 
-    def decode(self, rows: Iterable[Iterable[int]]) -> list[str]:
-        out = []
-        for ids in rows:
-            text = b"".join([self.decoded[i] for i in ids]).decode("utf-8", "replace")
+    def decode_flat(self, ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of rows of ids, one behind the other, and where each row's begin."""
+        n = self.surface_size[ids]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return self.surfaces[np.repeat(self.surface_at[ids] - total[:-1], n) + np.arange(total[-1])], total[edge]
+
+    def decode(self, rows: list[list[int]]) -> list[str]:
+        ids = np.fromiter(itertools.chain.from_iterable(rows), np.int64)
+        data, at = self.decode_flat(ids, np.cumsum([0, *map(len, rows)]))
+        raw, out = data.tobytes(), []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            text = raw[a:b].decode("utf-8", "replace")
             out.append(text[1:] if self.prefix and text.startswith(" ") else text)
         return out
 
@@ -290,10 +349,19 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 6 << 20, check: bool = False) -> DataFrame:
+def runs_of(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of most bytes or one row, from their running sum of bytes."""
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", pass_bytes: int = 32 << 20, slice_bytes: int = 3 << 20, check: bool = False) -> DataFrame:
     """(id, ids array<int>, n_tokens long, exact boolean) of each row's whole text, with no shuffle.
 
-    A worker encodes slice_bytes of text at a time and keeps the ids of up to some hundred thousand words it has met.
+    A worker encodes pass_bytes of text in a pass, slice_bytes at a time, and keeps the ids of up to some hundred thousand words it has met.
     exact (null unless check): whether decoding the ids gives the text; a text that holds U+2581 gives a space there, as
     in the model's own library. Null and empty texts have no ids. Repeated rows give repeated rows, an empty table none;
     other columns are not read."""
@@ -302,19 +370,19 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         own = model(path)
         for batch in batches:
             sizes = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + slice_bytes)))
-                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                rows = own.encode(texts)
-                exact = [d == t for d, t in zip(own.decode(rows), texts, strict=True)] if check else [None] * len(rows)
-                flat = np.fromiter(itertools.chain.from_iterable(rows), np.int32)
-                edge = np.cumsum([0, *map(len, rows)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat)), pa.array(np.diff(edge).astype(np.int64)), pa.array(exact, pa.bool_())],
-                    names=[id_col, "ids", "n_tokens", "exact"],
-                )
-                a = b
+            for begin, end in runs_of(sizes, pass_bytes):
+                texts = [t or b"" for t in batch.column(1).slice(begin, end - begin).cast(pa.binary()).to_pylist()]
+                cuts = list(runs_of(sizes[begin:end] - (sizes[begin - 1] if begin else 0), slice_bytes))
+                for (a, b), (ids, edge) in zip(cuts, own.encode_slices([texts[a:b] for a, b in cuts]), strict=True):
+                    exact = [None] * (b - a)
+                    if check:
+                        data, at = own.decode_flat(ids, edge)
+                        raw, skip = data.tobytes(), int(own.prefix)
+                        exact = [raw[i + skip : j] == t for i, j, t in zip(at[:-1].tolist(), at[1:].tolist(), texts[a:b], strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(begin + a, b - a), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids)), pa.array(np.diff(edge)), pa.array(exact, pa.bool_())],
+                        names=[id_col, "ids", "n_tokens", "exact"],
+                    )
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, ids array<int>, n_tokens long, exact boolean")
