@@ -1,9 +1,492 @@
-"""Registered queries of the automata operators and their SQL."""
+"""Registered queries of the automata operators, over the driver's tables, and the SQL that must agree with them."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from arcloom.functions.semiring import BOOLEAN, LOG, PROBABILITY, RINGS, TROPICAL
+from arcloom.operators import select as sel
+from arcloom.operators.collapse import neighbour_distances
+from arcloom.operators.compose import compose, dense_state
+from arcloom.operators.counts import chain_counts, expected_counts
+from arcloom.operators.distance import all_pairs, all_path_distances
+from arcloom.operators.kbest import k_best, uniform
+from arcloom.operators.minimize import approximate
+from arcloom.operators.output import dot_lines, equal
+from arcloom.operators.reach import is_cyclic, trim
+from arcloom.operators.setops import batch_union
+from arcloom.sources import constructors as make
+from arcloom.sources import derived
+from arcloom.sources.automaton import Automaton
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+# Common table expressions of the derived automata.
+CH = "ch AS (SELECT CAST(user_id AS VARCHAR) AS auto_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS label FROM events)"
+CV = "cv AS (SELECT CAST(conv_id AS VARCHAR) AS auto_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS label FROM conversations)"
+LY = """ly AS (
+  SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, n_name AS ilabel, r_name AS olabel, (n_nationkey + 1) / 100.0::DOUBLE AS w FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_mktsegment, n_name, (c_custkey % 10 + 1) / 10.0::DOUBLE FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, o_orderstatus, c_mktsegment, o_totalprice / 1e6::DOUBLE FROM orders JOIN customer ON o_custkey = c_custkey)"""
+NM = "nm AS (SELECT p_name AS name, count(*) AS n FROM part GROUP BY p_name), px AS (SELECT name, n, i, substr(name, 1, i) AS p FROM nm, generate_series(0, 12) g(i) WHERE i <= length(name))"
+
+
+def rounded(name: str = "weight", digits: int = 6) -> Column:
+    return (F.round(name, digits) + F.lit(0.0)).alias(name)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def arcs_of(auto: Automaton, digits: int = 6) -> DataFrame:
+    return auto.arcs.select("src", "dst", "ilabel", "olabel", rounded(digits=digits))
+
+
+# Sources ---------------------------------------------------------------------------------------------------------------
+
+
+@query("constant_chain", f"WITH {CH} SELECT auto_id, CAST(pos AS BIGINT) AS src, CAST(pos + 1 AS BIGINT) AS dst, label, 1.0::DOUBLE AS weight FROM ch")
+def constant_chain(spark, sf):
+    return make.chains(derived.event_steps(spark, sf), PROBABILITY).arcs.select("auto_id", "src", "dst", F.col("ilabel").alias("label"), "weight")
+
+
+@query("layer_arcs", f"WITH {LY} SELECT src, dst, ilabel, olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly")
+def layer_arcs(spark, sf):
+    return arcs_of(derived.layers(spark, sf))
+
+
+@query("edit_arcs", """WITH c(x) AS (VALUES ('a'), ('b'), ('c'), ('')), k AS (SELECT -ln(2 * exp(-3.0::DOUBLE) + 1 + 4 * exp(-4.0::DOUBLE)) AS m)
+SELECT a.x AS ilabel, b.x AS olabel, round(CASE WHEN a.x = '' OR b.x = '' THEN m - 4 WHEN a.x = b.x THEN m ELSE m - 3 END, 6) + 0.0::DOUBLE AS weight FROM c a, c b, k WHERE a.x <> '' OR b.x <> ''""")
+def edit_arcs(spark, sf):
+    return make.edit_distance(spark, -3.0, -4.0, "abc").arcs.select("ilabel", "olabel", rounded())
+
+
+@query("decay_cost", "SELECT 'decay' AS auto_id, 0.0::DOUBLE AS weight")
+def decay_cost(spark, sf):
+    return make.decay(spark, 4.0, "bcd").cost().select("auto_id", rounded())
+
+
+POISSON = """WITH s AS (SELECT i, exp(i * ln(4.0::DOUBLE) - 4.0 - ln(gamma(i + 1.0::DOUBLE))) AS p FROM generate_series(0, 4) g(i)), l AS (SELECT 1 - sum(p) AS left_, sum(p) AS below FROM s)
+SELECT 'poisson' AS auto_id, round(ln(below + {tail}), 6) + 0.0::DOUBLE AS weight FROM l"""
+
+
+@query("poisson_cost", POISSON.format(tail="left_ * 0.9 / (1 - left_ * 0.1)"))
+def poisson_cost(spark, sf):
+    return make.poisson(spark, 4.0, 5, "ab").cost().select("auto_id", rounded())
+
+
+@query("poisson_cost_normalized", POISSON.format(tail="left_"))
+def poisson_cost_normalized(spark, sf):
+    return make.poisson(spark, 4.0, 5, "ab", normalized=True).cost().select("auto_id", rounded())
+
+
+# Filters and projections -----------------------------------------------------------------------------------------------
+
+
+@query("filter_arcs", f"WITH {CH} SELECT auto_id, CAST(pos AS BIGINT) AS src, label FROM ch WHERE label = 'click'")
+def filter_arcs(spark, sf):
+    kept = make.chains(derived.event_steps(spark, sf), PROBABILITY).filter_arcs(F.col("ilabel") == "click")
+    return kept.edges().select("auto_id", "src", F.col("ilabel").alias("label"))
+
+
+def matched(name: str, where: str, match: Callable[[], Column]) -> None:
+    @query(name, f"WITH {LY} SELECT src, dst, ilabel, olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly WHERE {where}")
+    def run(spark, sf):
+        auto = derived.layers(spark, sf)
+        return sel.edges_matching(auto, match()).select("src", "dst", "ilabel", "olabel", rounded())
+
+
+matched("match_sigma", "src = 'n3'", lambda: sel.sigma("n3"))
+matched("match_label", "src = 'n3' AND ilabel = 'BUILDING' AND olabel = 'BUILDING'", lambda: sel.label("n3", "BUILDING"))
+matched("match_input", "src = 'n3' AND ilabel = 'BUILDING'", lambda: sel.input_label("n3", "BUILDING"))
+matched("match_output", "src = 'c7' AND olabel = 'BUILDING'", lambda: sel.output_label("c7", "BUILDING"))
+
+
+@query("edges_from", f"WITH {LY} SELECT src, dst, ilabel, olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly WHERE src = 'r1'")
+def edges_from(spark, sf):
+    return derived.layers(spark, sf).arcs_from("r1").select("src", "dst", "ilabel", "olabel", rounded())
+
+
+def projected(name: str, columns: str, step: Callable[[Automaton], Automaton]) -> None:
+    @query(name, f"WITH {LY} SELECT src, dst, {columns}, round(w, 6) + 0.0::DOUBLE AS weight FROM ly")
+    def run(spark, sf):
+        return arcs_of(step(derived.layers(spark, sf)))
+
+
+projected("as_transducer", "ilabel, ilabel AS olabel", Automaton.as_transducer)
+projected("swap_labels", "olabel AS ilabel, ilabel AS olabel", Automaton.swap_labels)
+projected("input_projection", "ilabel, ilabel AS olabel", Automaton.input_projection)
+projected("output_projection", "olabel AS ilabel, olabel", Automaton.output_projection)
+
+
+@query("reverse", f"""WITH {LY} SELECT dst AS src, src AS dst, ilabel, olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly
+UNION ALL SELECT 'o' || o_orderkey, NULL, 'initial', NULL, 1.0::DOUBLE FROM orders UNION ALL SELECT 'r' || r_regionkey, NULL, 'final', NULL, 1.0::DOUBLE FROM region""")
+def reverse(spark, sf):
+    auto = derived.layers(spark, sf).reverse()
+    none = F.lit(None).cast("string")
+    ends = [x.select(F.col("state").alias("src"), none.alias("dst"), F.lit(n).alias("ilabel"), none.alias("olabel"), "weight") for x, n in ((auto.initial, "initial"), (auto.final, "final"))]
+    return arcs_of(auto).unionByName(ends[0]).unionByName(ends[1])
+
+
+@query("relabel", f"""WITH {LY}, st AS (SELECT src AS s FROM ly UNION SELECT dst FROM ly UNION SELECT 'r' || r_regionkey FROM region UNION SELECT 'o' || o_orderkey FROM orders), d AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS n FROM st)
+SELECT CAST(a.n AS BIGINT) AS src, CAST(b.n AS BIGINT) AS dst, ilabel, olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly JOIN d a ON src = a.s JOIN d b ON dst = b.s""")
+def relabel(spark, sf):
+    return arcs_of(derived.layers(spark, sf).relabel())
+
+
+BG = f"""{CH}, nx AS (SELECT auto_id, pos, label, lead(label) OVER (PARTITION BY auto_id ORDER BY pos) AS next FROM ch), pr AS (SELECT label, next, count(*) AS n FROM nx GROUP BY 1, 2),
+bg AS (SELECT label, next, n / sum(n) OVER (PARTITION BY label) AS w FROM pr)"""
+
+
+@query("union", f"""WITH {LY}, {BG} SELECT CAST(0 AS TINYINT) AS side, src, dst, ilabel, olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly
+UNION ALL SELECT CAST(1 AS TINYINT), label, next, next, next, round(w, 6) + 0.0::DOUBLE FROM bg WHERE next IS NOT NULL""")
+def union(spark, sf):
+    both = derived.layers(spark, sf) | derived.markov(spark, sf)
+    return both.arcs.select(F.col("src.side").alias("side"), F.col("src.s").alias("src"), F.col("dst.s").alias("dst"), "ilabel", "olabel", rounded())
+
+
+@query("union_cost", "SELECT 'hello' AS auto_id, 2.0::DOUBLE AS weight")
+def union_cost(spark, sf):
+    one = make.constant(spark, "hello", 1.0, PROBABILITY, "hello")
+    return (one | one).cost().select("auto_id", rounded())
+
+
+# Aggregates ------------------------------------------------------------------------------------------------------------
+
+SUMS = {"probability": "round(sum(w), 6) + 0.0::DOUBLE", "tropical": "round(min(w), 6) + 0.0::DOUBLE", "log": "round(ln(sum(w)), 6) + 0.0::DOUBLE", "boolean": "bool_or(p > 200000)"}
+SHORT = {"probability": "prob", "tropical": "trop", "log": "log", "boolean": "bool"}
+
+
+def collapsed(name: str) -> None:
+    ring = RINGS[name]
+    source = "SELECT o_orderstatus AS src, o_orderpriority AS dst, CAST(o_orderkey % 3 AS VARCHAR) AS label, o_totalprice / 1e6::DOUBLE AS w, o_totalprice AS p FROM orders"
+
+    @query(f"collapse_edges_{SHORT[name]}", f"SELECT src, dst, label, {SUMS[name]} AS weight FROM ({source}) GROUP BY src, dst, label")
+    def run(spark, sf):
+        found = derived.order_graph(spark, sf, ring).collapse_edges().arcs.select("src", "dst", F.col("ilabel").alias("label"), "weight")
+        return found if name == "boolean" else found.withColumn("weight", rounded())
+
+    @query(f"neighbour_distances_{SHORT[name]}", f"SELECT src, dst, {SUMS[name]} AS weight FROM ({source}) GROUP BY src, dst")
+    def near(spark, sf):
+        found = neighbour_distances(derived.order_graph(spark, sf, ring)).select("src", "dst", "weight")
+        return found if name == "boolean" else found.withColumn("weight", rounded())
+
+
+for _ring in RINGS:
+    collapsed(_ring)
+
+
+
+@query("reachable_states", f"WITH RECURSIVE {LY}, up(s) AS (SELECT 'r1' UNION SELECT dst FROM up JOIN ly ON src = s) SELECT s AS state FROM up")
+def reachable_states(spark, sf):
+    return derived.layers(spark, sf, regions="r_regionkey = 1").states().select("state")
+
+
+@query("accessible_arcs", f"WITH RECURSIVE {LY}, up(s) AS (SELECT 'r1' UNION SELECT dst FROM up JOIN ly ON src = s) SELECT src, dst, ilabel, olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly JOIN up ON src = s")
+def accessible_arcs(spark, sf):
+    return derived.layers(spark, sf, regions="r_regionkey = 1").edges().select("src", "dst", "ilabel", "olabel", rounded())
+
+
+@query("trim", f"""WITH RECURSIVE {LY}, up(s) AS (SELECT 'r1' UNION SELECT dst FROM up JOIN ly ON src = s), down(s) AS (SELECT 'o' || o_orderkey FROM orders UNION SELECT src FROM down JOIN ly ON dst = s)
+SELECT src, dst FROM ly WHERE src IN (SELECT s FROM up) AND dst IN (SELECT s FROM down)""")
+def trim_query(spark, sf):
+    return trim(derived.layers(spark, sf, regions="r_regionkey = 1")).arcs.select("src", "dst")
+
+
+@query("is_cyclic", "SELECT 'bg' AS auto_id, true AS cyclic UNION ALL SELECT 'ly', false")
+def is_cyclic_query(spark, sf):
+    a, b = derived.markov(spark, sf), derived.layers(spark, sf)
+    both = Automaton(a.arcs.unionByName(b.arcs), a.initial.unionByName(b.initial), a.final.unionByName(b.final), PROBABILITY)
+    return is_cyclic(both)
+
+
+PATHS = """p1 AS (SELECT 'r' || r_regionkey AS s, 1.0::DOUBLE AS w FROM region), p2 AS (SELECT dst AS s, p1.w * ly.w AS w, ly.w AS t FROM p1 JOIN ly ON src = s),
+p3 AS (SELECT dst AS s, p2.w * ly.w AS w, p2.t + ly.w AS t FROM p2 JOIN ly ON src = s), p4 AS (SELECT dst AS s, p3.w * ly.w AS w, p3.t + ly.w AS t FROM p3 JOIN ly ON src = s),
+pa AS (SELECT s, w, 0.0::DOUBLE AS t FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)"""
+FORWARD = {"probability": "round(sum(w), 6)", "tropical": "round(min(t), 6)", "log": "round(ln(sum(w)), 6)"}
+
+
+def forward(name: str) -> None:
+    @query(f"forward_{SHORT[name]}", f"WITH {LY}, {PATHS} SELECT s AS state, {FORWARD[name]} + 0.0::DOUBLE AS weight FROM pa GROUP BY s")
+    def run(spark, sf):
+        return all_path_distances(derived.layers(spark, sf, RINGS[name])).select("state", rounded())
+
+    @query(f"cost_{SHORT[name]}", f"WITH {LY}, {PATHS} SELECT 'ly' AS auto_id, {FORWARD[name]} + 0.0::DOUBLE AS weight FROM p4")
+    def total(spark, sf):
+        return derived.layers(spark, sf, RINGS[name]).cost().select("auto_id", rounded())
+
+
+for _ring in FORWARD:
+    forward(_ring)
+
+
+@query("cost_bool", "SELECT 'ly' AS auto_id, count(*) > 0 AS weight FROM orders")
+def cost_bool(spark, sf):
+    return derived.layers(spark, sf, BOOLEAN).cost()
+
+
+@query("cost_markov", "SELECT 'bg' AS auto_id, 1.0::DOUBLE AS weight")
+def cost_markov(spark, sf):
+    return derived.markov(spark, sf).cost().select("auto_id", rounded())
+
+
+@query("all_pairs", f"""WITH {LY}, top AS (SELECT * FROM ly WHERE dst[1] <> 'o'), st AS (SELECT src AS s FROM top UNION SELECT dst FROM top UNION SELECT 'r' || r_regionkey FROM region UNION SELECT 'c' || c_custkey FROM customer),
+al AS (SELECT s AS src, s AS dst, 1.0::DOUBLE AS w FROM st UNION ALL SELECT src, dst, w FROM top UNION ALL SELECT a.src, b.dst, a.w * b.w FROM top a JOIN top b ON a.dst = b.src)
+SELECT src, dst, round(sum(w), 6) + 0.0::DOUBLE AS weight FROM al GROUP BY src, dst""")
+def all_pairs_query(spark, sf):
+    return all_pairs(derived.layers(spark, sf, orders=False)).select("src", "dst", rounded())
+
+
+# Joins -----------------------------------------------------------------------------------------------------------------
+
+
+@query("compose_chain", "WITH nm AS (SELECT DISTINCT p_name FROM part) SELECT p_name AS auto_id, CAST(i - 1 AS BIGINT) AS src, CAST(i AS BIGINT) AS dst, substr(p_name, i, 1) AS ilabel, upper(substr(p_name, i, 1)) AS olabel, 0.5::DOUBLE AS weight FROM nm, generate_series(1, 12) g(i) WHERE i <= length(p_name)")
+def compose_chain(spark, sf):
+    steps = derived.name_steps(spark, sf)
+    letters = steps.select("label").distinct()
+    flat = letters.select(F.lit("up").alias("auto_id"), F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.col("label").alias("ilabel"), F.upper("label").alias("olabel"), F.lit(0.5).alias("weight"))
+    ends = spark.createDataFrame([("up", 0, 1.0)], "auto_id string, state long, weight double")
+    both = make.chains(steps, PROBABILITY) >> make.from_frames(flat, ends, ends, PROBABILITY, shared=True)
+    return both.arcs.select("auto_id", F.col("src.l").alias("src"), F.col("dst.l").alias("dst"), "ilabel", "olabel", "weight")
+
+
+@query("intersect_chain", f"""WITH {CV}, ok AS (SELECT *, min(CASE WHEN label = 'system' THEN 0 ELSE 1 END) OVER (PARTITION BY auto_id ORDER BY pos) AS live FROM cv)
+SELECT auto_id, CAST(pos AS BIGINT) AS src, CAST(pos + 1 AS BIGINT) AS dst, label FROM ok WHERE live = 1""")
+def intersect_chain(spark, sf):
+    steps = derived.conversation_steps(spark, sf)
+    other = steps.withColumn("label", F.when(F.col("label") == "system", F.lit("user")).otherwise(F.col("label")))
+    both = make.chains(steps, BOOLEAN) & make.chains(other, BOOLEAN)
+    return both.arcs.select("auto_id", F.col("src.l").alias("src"), F.col("dst.l").alias("dst"), F.col("ilabel").alias("label"))
+
+
+def seven(spark: SparkSession) -> tuple[Automaton, Automaton]:
+    a = make.transducer(spark, BOOLEAN, {0: True}, {4: True}, [make.arc(0, 1, "a", True, "a"), make.arc(1, 2, "b", True, ""), make.arc(2, 3, "c", True, ""), make.arc(3, 4, "d", True, "d")])
+    b = make.transducer(spark, BOOLEAN, {0: True}, {3: True}, [make.arc(0, 1, "a", True, "d"), make.arc(1, 2, "", True, "e"), make.arc(2, 3, "d", True, "a")])
+    return a, b
+
+
+SEVEN = "(0,0,0,1,1,0,'a','d'), (1,1,0,2,1,1,'b',''), (1,1,0,1,2,2,'','e'), (1,1,0,2,2,0,'b','e'), (2,1,1,3,1,1,'c',''), (2,2,0,3,2,1,'c',''), (3,2,1,4,3,0,'d','a')"
+
+
+@query("compose_epsilon", f"SELECT CAST(a AS BIGINT) AS sl, CAST(b AS BIGINT) AS sr, CAST(c AS TINYINT) AS se, CAST(d AS BIGINT) AS dl, CAST(e AS BIGINT) AS dr, CAST(f AS TINYINT) AS de, g AS ilabel, h AS olabel FROM (VALUES {SEVEN}) v(a, b, c, d, e, f, g, h)")
+def compose_epsilon(spark, sf):
+    a, b = seven(spark)
+    return (a >> b).arcs.select(*[F.col(f"{s}.{c}").alias(f"{s[0]}{c}") for s in ("src", "dst") for c in "lre"], "ilabel", "olabel")
+
+
+@query("compose_dense", f"SELECT CAST(c + 3 * (a + 5 * b) AS BIGINT) AS src, CAST(f + 3 * (d + 5 * e) AS BIGINT) AS dst, g AS ilabel, h AS olabel FROM (VALUES {SEVEN}) v(a, b, c, d, e, f, g, h)")
+def compose_dense(spark, sf):
+    a, b = seven(spark)
+    return dense_state(a >> b, 5).arcs.select("src", "dst", "ilabel", "olabel")
+
+
+@query("compose_weigh", "SELECT CAST(1 AS BIGINT) AS n, 2.5::DOUBLE AS weight")
+def compose_weigh(spark, sf):
+    a = make.transducer(spark, PROBABILITY, {0: 1.0}, {1: 1.0}, [make.arc(0, 1, "a", 2.0, "b")])
+    b = make.transducer(spark, PROBABILITY, {0: 1.0}, {1: 1.0}, [make.arc(0, 1, "b", 0.5, "c")])
+    both = compose(a, b, weigh=lambda i, m, o, x, y: F.when(m == "b", x + y).otherwise(F.lit(0.0)))
+    return both.arcs.agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+
+
+# Edit distance ---------------------------------------------------------------------------------------------------------
+
+
+@query("edit_distance_trop", "WITH t AS (SELECT DISTINCT event_type AS x FROM events) SELECT a.x AS a, b.x AS b, CAST(levenshtein(a.x, b.x) AS BIGINT) AS distance FROM t a, t b")
+def edit_distance_trop(spark, sf):
+    names = derived.table(spark, sf, "events").select(F.col("event_type").alias("a")).distinct()
+    pairs = names.crossJoin(names.withColumnRenamed("a", "b")).withColumn("auto_id", F.concat_ws("|", "a", "b"))  # the five types with themselves
+    side = lambda c: make.chains(make.spelled(pairs, "auto_id", c), TROPICAL)
+    letters = "".join(r.a for r in names.collect())
+    total = (side("a") >> make.unit_edits(spark, letters, TROPICAL) >> side("b")).cost()
+    return total.join(pairs, "auto_id").select("a", "b", F.col("weight").cast("long").alias("distance"))
+
+
+@query("edit_distance_mass", "SELECT 'abc' AS auto_id, 0.0::DOUBLE AS weight")
+def edit_distance_mass(spark, sf):
+    text = make.constant(spark, "abc", 0.0, LOG, "abc")
+    return (make.edit_distance(spark, -3.0, -4.0, "abc") >> text).cost().select("auto_id", rounded())
+
+
+@query("edit_distance_logsum", """WITH RECURSIVE k AS (SELECT 1 / (2 * exp(-3.0::DOUBLE) + 1 + 4 * exp(-4.0::DOUBLE)) AS m), w(a, b) AS (VALUES ('abc', 'acb'), ('a', 'abc'), ('cab', 'cab'), ('b', 'c')),
+p(a, b, i, j, v) AS (SELECT a, b, 0, 0, 1.0::DOUBLE FROM w UNION ALL
+SELECT a, b, i + d.di, j + d.dj, v * (SELECT m FROM k) * CASE WHEN d.di + d.dj = 1 THEN exp(-4.0::DOUBLE) WHEN substr(a, i + 1, 1) = substr(b, j + 1, 1) THEN 1.0 ELSE exp(-3.0::DOUBLE) END
+FROM p, (VALUES (0, 1), (1, 0), (1, 1)) d(di, dj) WHERE i + d.di <= length(a) AND j + d.dj <= length(b))
+SELECT a || '|' || b AS auto_id, round(ln(sum(v) * (1 - 3 * exp(-4.0::DOUBLE) * (SELECT m FROM k))), 6) + 0.0::DOUBLE AS weight FROM p WHERE i = length(a) AND j = length(b) GROUP BY a, b""")
+def edit_distance_logsum(spark, sf):
+    pairs = spark.createDataFrame([("abc", "acb"), ("a", "abc"), ("cab", "cab"), ("b", "c")], "a string, b string").withColumn("auto_id", F.concat_ws("|", "a", "b"))
+    side = lambda c: make.chains(make.spelled(pairs, "auto_id", c), LOG)
+    return (side("a") >> make.edit_distance(spark, -3.0, -4.0, "abc") >> side("b")).cost().select("auto_id", rounded())
+
+
+# Expected counts -------------------------------------------------------------------------------------------------------
+
+LAST = "SELECT auto_id, label, pos FROM (SELECT *, row_number() OVER (PARTITION BY auto_id ORDER BY pos DESC) AS back FROM {t}) WHERE back = 1"
+
+
+def bigram_sql(t: str, cte: str) -> str:
+    return f"""WITH {cte}, steps AS (SELECT coalesce(lag(label) OVER (PARTITION BY auto_id ORDER BY pos), '#') AS src, label AS dst, label FROM {t} UNION ALL SELECT label, '', '' FROM ({LAST.format(t=t)}))
+SELECT src, dst, label, round(CAST(count(*) AS DOUBLE), 6) AS weight FROM steps GROUP BY 1, 2, 3"""
+
+
+def positional_sql(t: str, cte: str, n: int) -> str:
+    return f"""WITH {cte}, steps AS (SELECT least(pos, {n - 1}) AS src, least(pos + 1, {n - 1}) AS dst, label FROM {t} UNION ALL SELECT least(pos + 1, {n - 1}), -1, '' FROM ({LAST.format(t=t)}))
+SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, label, round(CAST(count(*) AS DOUBLE), 6) AS weight FROM steps GROUP BY 1, 2, 3"""
+
+
+@query("expected_bigram", bigram_sql("ch", CH))
+def expected_bigram(spark, sf):
+    return chain_counts(derived.event_steps(spark, sf), PROBABILITY, "bigram").withColumn("weight", rounded())
+
+
+@query("expected_unigram", f"""WITH {CH} SELECT CAST(1 AS BIGINT) AS src, CAST(1 AS BIGINT) AS dst, label, CAST(count(*) AS DOUBLE) AS weight FROM ch GROUP BY label
+UNION ALL SELECT 1, 0, '', CAST(count(DISTINCT auto_id) AS DOUBLE) FROM ch""")
+def expected_unigram(spark, sf):
+    return chain_counts(derived.event_steps(spark, sf), PROBABILITY, "unigram").withColumn("weight", rounded())
+
+
+@query("expected_positional", positional_sql("ch", CH, 10))
+def expected_positional(spark, sf):
+    return chain_counts(derived.event_steps(spark, sf), PROBABILITY, "positional", longest=10).withColumn("weight", rounded())
+
+
+@query("expected_bigram_general", bigram_sql("cv", CV))
+def expected_bigram_general(spark, sf):
+    steps = derived.conversation_steps(spark, sf)
+    template = make.bigram_template(spark, "#", steps.select("label"))
+    return expected_counts(make.chains(steps, PROBABILITY), template).withColumn("weight", rounded())
+
+
+@query("expected_positional_general", positional_sql("cv", CV, 3))
+def expected_positional_general(spark, sf):
+    steps = derived.conversation_steps(spark, sf)
+    template = make.positional_template(spark, steps.select("label"), 3)
+    return expected_counts(make.chains(steps, PROBABILITY), template).withColumn("weight", rounded())
+
+
+@query("expected_unigram_general", f"""WITH {CV} SELECT CAST(1 AS BIGINT) AS src, CAST(1 AS BIGINT) AS dst, label, round(ln(CAST(count(*) AS DOUBLE)), 6) + 0.0::DOUBLE AS weight FROM cv GROUP BY label
+UNION ALL SELECT 1, 0, '', round(ln(CAST(count(DISTINCT auto_id) AS DOUBLE)), 6) + 0.0::DOUBLE FROM cv""")
+def expected_unigram_general(spark, sf):
+    steps = derived.conversation_steps(spark, sf)
+    template = make.unigram_template(spark, steps.select("label"), LOG)
+    return expected_counts(make.chains(steps, LOG), template).withColumn("weight", rounded())
+
+
+# Structure -------------------------------------------------------------------------------------------------------------
+
+
+@query("push_weights", f"""WITH {LY}, b3 AS (SELECT src AS s, sum(w) AS b FROM ly WHERE src[1] = 'c' GROUP BY 1), b2 AS (SELECT src AS s, sum(w * b) AS b FROM ly JOIN b3 ON dst = s WHERE src[1] = 'n' GROUP BY 1),
+b1 AS (SELECT src AS s, sum(w * b) AS b FROM ly JOIN b2 ON dst = s WHERE src[1] = 'r' GROUP BY 1), bb AS (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3 UNION ALL SELECT 'o' || o_orderkey, 1.0::DOUBLE FROM orders)
+SELECT src, dst, round(w * d.b / u.b, 6) + 0.0::DOUBLE AS weight FROM ly JOIN bb u ON src = u.s JOIN bb d ON dst = d.s UNION ALL SELECT s, NULL, round(b, 6) + 0.0::DOUBLE FROM b1""")
+def push_weights(spark, sf):
+    pushed = derived.layers(spark, sf).push_weights()
+    start = pushed.initial.select(F.col("state").alias("src"), F.lit(None).cast("string").alias("dst"), rounded())
+    return pushed.arcs.select("src", "dst", rounded()).unionByName(start)
+
+
+@query("remove_epsilons", f"""WITH {CH}, nx AS (SELECT auto_id, pos, min(CASE WHEN label <> 'error' THEN pos END) OVER (PARTITION BY auto_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM ch)
+SELECT nx.auto_id, CAST(nx.pos AS BIGINT) AS src, CAST(q + 1 AS BIGINT) AS dst, ch.label FROM nx JOIN ch ON ch.auto_id = nx.auto_id AND ch.pos = q""")
+def remove_epsilons(spark, sf):
+    steps = derived.event_steps(spark, sf).withColumn("label", F.when(F.col("label") == "error", F.lit("")).otherwise(F.col("label")))
+    return make.chains(steps, PROBABILITY).remove_epsilons().arcs.select("auto_id", "src", "dst", F.col("ilabel").alias("label"))
+
+
+def shape(auto: Automaton, weights: bool = False) -> DataFrame:
+    """What a graph's states' names don't matter to: arcs by label (and weight), final states and states."""
+    auto = Automaton(auto.arcs, auto.initial, auto.final, auto.ring)
+    w = rounded() if weights else F.lit(0.0).alias("weight")
+    arcs = auto.arcs.select(F.col("ilabel").alias("label"), w)
+    final = auto.final.select(F.lit("#final").alias("label"), w)
+    states = auto.arc_states().select(F.lit("#state").alias("label"), F.lit(0.0).alias("weight"))
+    return arcs.unionByName(final).unionByName(states).groupBy("label", "weight").agg(F.count("*").alias("n"))
+
+
+@query("determinize_trie", f"""WITH {NM}, d AS (SELECT DISTINCT p FROM px) SELECT label, 0.0::DOUBLE AS weight, count(*) AS n FROM (SELECT right(p, 1) AS label FROM d WHERE p <> '' UNION ALL SELECT '#state' FROM d UNION ALL SELECT '#final' FROM nm) GROUP BY label""")
+def determinize_trie(spark, sf):
+    names = batch_union(make.chains(derived.name_steps(spark, sf), BOOLEAN))
+    return shape(names.determinize())
+
+
+WTRIE = f"""{NM}, s AS (SELECT p, sum(n) AS total, sum(CASE WHEN p = name THEN n ELSE 0 END) AS own FROM px GROUP BY p),
+tr AS (SELECT p, right(p, 1) AS label, CASE WHEN length(p) = 1 THEN CAST(total AS DOUBLE) ELSE total / (SELECT u.total FROM s u WHERE u.p = left(s.p, length(s.p) - 1))::DOUBLE END AS w, total, own FROM s WHERE p <> '')"""
+
+
+@query("determinize_weighted", f"""WITH {WTRIE} SELECT label, round(w, 6) + 0.0::DOUBLE AS weight, count(*) AS n FROM (SELECT label, w FROM tr UNION ALL SELECT '#final', own / total::DOUBLE FROM tr WHERE own > 0 UNION ALL SELECT '#state', 0.0::DOUBLE FROM s) GROUP BY 1, 2""")
+def determinize_weighted(spark, sf):
+    return shape(batch_union(derived.weighted_names(spark, sf)).determinize(), weights=True)
+
+
+@query("minimize_trie", f"""WITH {NM}, c AS (SELECT p, string_agg(substr(name, i + 1), '/' ORDER BY name) AS cls FROM px GROUP BY p), k AS (SELECT DISTINCT cls FROM c), a AS (SELECT DISTINCT u.cls, right(v.p, 1) AS label FROM c v JOIN c u ON u.p = left(v.p, length(v.p) - 1) WHERE v.p <> '')
+SELECT label, 0.0::DOUBLE AS weight, count(*) AS n FROM (SELECT label FROM a UNION ALL SELECT '#state' FROM k UNION ALL SELECT '#final' FROM k WHERE '/' || cls || '/' LIKE '%//%' OR cls = '') GROUP BY label""")
+def minimize_trie(spark, sf):
+    names = batch_union(make.chains(derived.name_steps(spark, sf), BOOLEAN))
+    return shape(names.determinize().minimize())
+
+
+@query("minimize_approx", f"""WITH {WTRIE}, q AS (SELECT p, label, round(w, 2) AS w, round(own / total::DOUBLE, 2) AS f FROM tr UNION ALL SELECT '', '', 0.0, 0.0),
+c AS (SELECT u.p, string_agg(substr(v.p, length(u.p) + 1) || ':' || CASE WHEN v.p = u.p THEN 0.0::DOUBLE ELSE v.w END || ':' || v.f, '/' ORDER BY v.p) AS cls FROM q u JOIN q v ON starts_with(v.p, u.p) GROUP BY u.p)
+SELECT count(DISTINCT cls) AS n_states FROM c""")
+def minimize_approx(spark, sf):
+    trie = batch_union(derived.weighted_names(spark, sf)).determinize()
+    return trie.minimize(partitioner=approximate(2)).arc_states().agg(F.count("*").alias("n_states"))
+
+
+# K best, output --------------------------------------------------------------------------------------------------------
+
+
+BEST = """SELECT CAST(row_number() OVER (ORDER BY round({key}, 9) {order}, labels) AS INT) AS rank, labels, round({key}, 6) + 0.0::DOUBLE AS weight FROM (
+SELECT a.olabel || '|' || b.olabel || '|' || c.olabel AS labels, a.w * b.w * c.w AS prob, a.w + b.w + c.w AS trop FROM ly a JOIN ly b ON a.dst = b.src JOIN ly c ON b.dst = c.src) QUALIFY rank <= 10"""
+
+
+@query("kbest", f"WITH {LY} " + BEST.format(key="prob", order="DESC"))
+def kbest(spark, sf):
+    return k_best(derived.layers(spark, sf), 10).select("rank", F.array_join("labels", "|").alias("labels"), rounded())
+
+
+@query("kbest_uniform", f"WITH {LY} " + BEST.format(key="trop", order="ASC"))
+def kbest_uniform(spark, sf):
+    return k_best(derived.layers(spark, sf, TROPICAL), 10, heuristic=uniform).select("rank", F.array_join("labels", "|").alias("labels"), rounded())
+
+
+@query("kbest_union", "SELECT CAST(i AS INT) AS rank, t AS text, CAST(w AS DOUBLE) AS weight FROM (VALUES (1, 'Hello', 1.0), (2, 'HellX', 0.2), (3, 'GoodBye', 0.1)) v(i, t, w)")
+def kbest_union(spark, sf):
+    a, b, c = (make.constant(spark, t, w, PROBABILITY) for t, w in (("Hello", 1.0), ("HellX", 0.2), ("GoodBye", 0.1)))
+    return k_best((a | b).relabel() | c, 3).select("rank", "text", rounded())
+
+
+@query("dot_lines", f"""WITH {CV}, z AS (SELECT auto_id, max(pos) + 1 AS n FROM cv GROUP BY 1) SELECT auto_id, 0 AS kind, '"' || pos || '"->"' || (pos + 1) || '"[label="' || label || '/1.0"]' AS line FROM cv
+UNION ALL SELECT auto_id, 1, '"' || i || '"[label="' || i || CASE WHEN i = n THEN ' 1.0"' ELSE ' 0.0"' END || CASE WHEN i = 0 THEN ',style=bold' ELSE '' END || ']' FROM z, generate_series(0, 100) g(i) WHERE i <= n""")
+def dot(spark, sf):
+    return dot_lines(make.chains(derived.conversation_steps(spark, sf), PROBABILITY))
+
+
+@query("equals_self", "SELECT true AS same, false AS other")
+def equals_self(spark, sf):
+    a, b = derived.layers(spark, sf, orders=False), derived.layers(spark, sf, orders=False, regions="r_regionkey > 0")
+    return spark.createDataFrame([(equal(a, a), equal(a, b))], "same boolean, other boolean")
+
+
+@query("final_weights", f"WITH {LY} SELECT s AS state, CASE WHEN s[1] = 'o' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM (SELECT src AS s FROM ly UNION SELECT dst FROM ly)")
+def final_weights(spark, sf):
+    auto = derived.layers(spark, sf)
+    ends = auto.arcs.select("auto_id", F.col("src").alias("state")).unionByName(auto.arcs.select("auto_id", F.col("dst").alias("state"))).distinct()
+    return auto.final_weight(ends).select("state", "weight")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -6,6 +6,7 @@ import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -16,9 +17,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and its lineage cut, in storage that outlives executors."""
+    """df computed once and its lineage cut, in storage that outlives executors.
+
+    Columns get names of their own again: a join of a checkpoint with itself must not have to rename the checkpoint's."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    return done.select(*[F.col(f"`{c}`").alias(c) for c in done.columns])
 
 
 def together(frames: list[DataFrame]) -> DataFrame:
