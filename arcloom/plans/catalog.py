@@ -215,17 +215,17 @@ def is_cyclic_query(spark, sf):
 PATHS = """p1 AS (SELECT 'r' || r_regionkey AS s, 1.0::DOUBLE AS w FROM region), p2 AS (SELECT dst AS s, p1.w * ly.w AS w, ly.w AS t FROM p1 JOIN ly ON src = s),
 p3 AS (SELECT dst AS s, p2.w * ly.w AS w, p2.t + ly.w AS t FROM p2 JOIN ly ON src = s), p4 AS (SELECT dst AS s, p3.w * ly.w AS w, p3.t + ly.w AS t FROM p3 JOIN ly ON src = s),
 pa AS (SELECT s, w, 0.0::DOUBLE AS t FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4)"""
-FORWARD = {"probability": "round(sum(w), 6)", "tropical": "round(min(t), 6)", "log": "round(ln(sum(w)), 6)"}
+FORWARD = {"probability": "round(sum(w), 6)", "tropical": "round(min(t), 9)", "log": "round(ln(sum(w)), 6)"}
 
 
 def forward(name: str) -> None:
     @query(f"forward_{SHORT[name]}", f"WITH {LY}, {PATHS} SELECT s AS state, {FORWARD[name]} + 0.0::DOUBLE AS weight FROM pa GROUP BY s")
     def run(spark, sf):
-        return all_path_distances(derived.layers(spark, sf, RINGS[name])).select("state", rounded())
+        return all_path_distances(derived.layers(spark, sf, RINGS[name])).select("state", rounded(digits=9 if name == "tropical" else 6))
 
     @query(f"cost_{SHORT[name]}", f"WITH {LY}, {PATHS} SELECT 'ly' AS auto_id, {FORWARD[name]} + 0.0::DOUBLE AS weight FROM p4")
     def total(spark, sf):
-        return derived.layers(spark, sf, RINGS[name]).cost().select("auto_id", rounded())
+        return derived.layers(spark, sf, RINGS[name]).cost().select("auto_id", rounded(digits=9 if name == "tropical" else 6))
 
 
 for _ring in FORWARD:
@@ -445,18 +445,18 @@ def minimize_approx(spark, sf):
 # K best, output --------------------------------------------------------------------------------------------------------
 
 
-BEST = """SELECT CAST(row_number() OVER (ORDER BY round({key}, 9) {order}, labels) AS INT) AS rank, labels, round({key}, 6) + 0.0::DOUBLE AS weight FROM (
+BEST = """SELECT CAST(row_number() OVER (ORDER BY round({key}, 9) {order}, labels) AS INT) AS rank, labels, round({key}, 9) + 0.0::DOUBLE AS weight FROM (
 SELECT a.olabel || '|' || b.olabel || '|' || c.olabel AS labels, a.w * b.w * c.w AS prob, a.w + b.w + c.w AS trop FROM ly a JOIN ly b ON a.dst = b.src JOIN ly c ON b.dst = c.src) QUALIFY rank <= 10"""
 
 
 @query("kbest", f"WITH {LY} " + BEST.format(key="prob", order="DESC"))
 def kbest(spark, sf):
-    return k_best(derived.layers(spark, sf), 10).select("rank", F.array_join("labels", "|").alias("labels"), rounded())
+    return k_best(derived.layers(spark, sf), 10).select("rank", F.array_join("labels", "|").alias("labels"), rounded(digits=9))
 
 
 @query("kbest_uniform", f"WITH {LY} " + BEST.format(key="trop", order="ASC"))
 def kbest_uniform(spark, sf):
-    return k_best(derived.layers(spark, sf, TROPICAL), 10, heuristic=uniform).select("rank", F.array_join("labels", "|").alias("labels"), rounded())
+    return k_best(derived.layers(spark, sf, TROPICAL), 10, heuristic=uniform).select("rank", F.array_join("labels", "|").alias("labels"), rounded(digits=9))
 
 
 @query("kbest_union", "SELECT CAST(i AS INT) AS rank, t AS text, CAST(w AS DOUBLE) AS weight FROM (VALUES (1, 'Hello', 1.0), (2, 'HellX', 0.2), (3, 'GoodBye', 0.1)) v(i, t, w)")
