@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -45,10 +46,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """df, whose rows can be numbered as they come: as it is if it only reads, filters and computes; else written first.
+
+    What a shuffle, join or Python code gives may come in another order each time it is computed."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if re.search(r"Exchange|Repartition|Join|Aggregate|Window|Limit|Sample|Python|Arrow|Pandas|Sort|TakeOrdered", plan):
+        return written(df, name)
+    return df
+
+
+#: Rows and bytes of a batch between Spark and Python, unless the session says otherwise: long texts count in the
+#: thousands, and both sides hold a batch several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608")}
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers of this machine import the package from where the driver did."""
+    """Let Python workers of this machine import the package from where the driver did, and keep their batches small."""
     root = str(Path(__file__).resolve().parents[2])
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    for key, (usual, ours) in BATCH.items():
+        if spark.conf.get(key, usual) in (usual, "64MB", "64m"):
+            spark.conf.set(key, ours)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

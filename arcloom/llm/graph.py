@@ -32,12 +32,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def bucket_components(
-    member: DataFrame, keys: list[str], alike: Callable[[str, str], Column], linked: Callable[[DataFrame], DataFrame]
+    member: DataFrame, keys: list[str], payload: DataFrame, alike: Callable[[str, str], Column], linked: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """(node, root) of the components that nodes sharing a bucket form, for nodes that have a link.
 
-    member has a row for each node (cls, distinct within a bucket) and bucket (keys), with whatever alike needs. linked
-    gives those of candidate pairs (a, b) that are links; alike(x, y) is a condition that all links meet.
+    member has a row for each node (cls, distinct within a bucket) and bucket (keys); payload what alike needs of a node.
+    linked gives those of candidate pairs (a, b) that are links; alike(x, y) is a condition that all links meet.
 
     First every bucket gives a star: its smallest node paired with each other one. Buckets that then still hold several
     components go on: their nodes outside the bucket's largest component are paired with the nodes of its other
@@ -52,7 +52,7 @@ def bucket_components(
     placed = written(placed, "placed")
     shares = placed.groupBy(*keys, "root").agg(F.count("*").alias("n"))
     apart = shares.groupBy(*keys).agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("most")).filter("parts > 1")
-    open_ = placed.join(apart.select(*keys, F.col("most.root").alias("most")), keys)
+    open_ = placed.join(apart.select(*keys, F.col("most.root").alias("most")), keys).join(payload, "cls")
     x, y = open_.filter("root <> most").alias("x"), open_.alias("y")
     on = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.cls") < F.col("y.cls"))) & alike("x", "y")
     for k in keys:

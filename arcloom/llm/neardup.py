@@ -13,13 +13,16 @@ from . import hashing
 from .common import written
 from .graph import bucket_components
 
-BINS, ROWS = 128, 4
-BANDS = BINS // ROWS
+BINS, ROWS, BANDS = 256, 4, 32
 PROBES = np.random.default_rng(7).integers(0, BINS, (256, BINS))
 SALTS = np.random.default_rng(8).integers(1, 1 << 63, BINS, dtype=np.uint64)
 EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
-#: Sketches of BINS bits differ in 16 on average at similarity 0.75; this is over seven deviations more. Sets of fewer than FEW shingles skip this filter.
-MOST_BITS, FEW = 44, 100
+#: Deviations over the mean by which two sketches may differ at similarity 0.75: 3 pairs in a million differ by more.
+DEVIATIONS = 4.5
+SKETCH = ("sketch_a", "sketch_b", "sketch_c", "sketch_d")
+#: A set's bitmap: a bit for each of 1,024 values that its shingles' hashes take.
+MAP = tuple(f"map_{k:02d}" for k in range(16))
+PAYLOAD = ("n_shingles", *SKETCH, *MAP)
 NO_ID = -(1 << 63)
 
 
@@ -52,10 +55,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def band_keys(sig: np.ndarray) -> np.ndarray:
     keys = np.repeat(SALTS[None, :BANDS], len(sig), axis=0)
     for r in range(ROWS):
-        keys = keys + sig[:, r::ROWS] * hashing.PLACE[r]
+        keys = keys + sig[:, r * BANDS : (r + 1) * BANDS] * hashing.PLACE[r]
     return hashing.mixed(keys)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    bits = np.zeros((len(sets), 64 * len(MAP)), np.uint8)
+    for i, s in enumerate(sets):
+        bits[i, ((s * hashing.PLACE[10]) >> np.uint64(54)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+
+
 def class_ids(sets: list[np.ndarray]) -> list[bytes | None]:
     """128 bits that name each set."""
     out: list[bytes | None] = []
@@ -67,7 +77,7 @@ def class_ids(sets: list[np.ndarray]) -> list[bytes | None]:
     return out
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows of about most bytes."""
     size = np.cumsum(np.diff(hashing.raw(texts)[1]))
     a = 0
@@ -86,7 +96,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(sets)
             bits = ((sig * hashing.PLACE[9]) >> np.uint64(63)).astype(np.uint8)
             sketch = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-            keys = band_keys(sig).view(np.int64)
+            keys, maps = band_keys(sig).view(np.int64), bitmaps(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -94,10 +104,10 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(class_ids(sets), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1))),
-                    pa.array(sketch[:, 0]),
-                    pa.array(sketch[:, 1]),
+                    *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCH))],
+                    *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(len(MAP))],
                 ],
-                names=["doc_id", "text_hash", "n_shingles", "cls", "bands", "sketch_a", "sketch_b"],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "bands", *SKETCH, *MAP],
             )
 
 
@@ -127,11 +137,20 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     return both.filter((100 + percent) * F.col("common") >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
-def alike(x: str, y: str) -> Column:
-    """What two sets over the threshold must have in common in size and, if large enough, in sketch."""
+def alike(x: str, y: str, percent: int) -> Column:
+    """What two sets over the threshold have in common: their sizes are near, and so are their sketches and bitmaps.
+
+    A sketch has a bit for each bin; of two sets of similarity 0.75, an eighth of the bits differ on average, with the
+    deviation of as many draws as there are bins, or three quarters of the shingles where these are fewer. Each bit that
+    only one set's bitmap has is a shingle at least that the other lacks, which bounds what they share. Of the buckets that
+    two sets share, the first one alone gives their pair."""
     n, m = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    bits = F.bit_count(F.col(f"{x}.sketch_a").bitwiseXOR(F.col(f"{y}.sketch_a"))) + F.bit_count(F.col(f"{x}.sketch_b").bitwiseXOR(F.col(f"{y}.sketch_b")))
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & ((F.least(n, m) < FEW) | (bits <= MOST_BITS))
+    bits = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH), F.lit(0))
+    spread = F.sqrt(F.lit(7 / 64) / F.least(F.lit(float(BINS)), 0.75 * F.least(n, m)))
+    first = F.array_position(F.zip_with(F.col(f"{x}.bands"), F.col(f"{y}.bands"), lambda a, b: a == b), True) == F.col(f"{x}.band") + 1
+    only = lambda a, b: sum((F.bit_count(F.col(f"{a}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{c}")))) for c in MAP), F.lit(0))
+    most = F.least(n - only(x, y), m - only(y, x))
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (bits <= BINS * (0.125 + DEVIATIONS * spread)) & ((100 + percent) * most >= percent * (n + m)) & first
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,18 +168,18 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     repeated rows share class and component. An empty table gives no rows. Other columns are not read.
     """
     docs = keyed(df, id_col, text_col)
-    schema = "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, sketch_a long, sketch_b long"
+    schema = "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, " + ", ".join(f"{c} long" for c in (*SKETCH, *MAP))
     signed = written(docs.select("doc_id", "text_hash", "text").mapInArrow(sign, schema), "signed")
-    same = ("n_shingles", "bands", "sketch_a", "sketch_b")
+    same = ("bands", *PAYLOAD)
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")
     classes = written(signed.filter("n_shingles > 0").groupBy("cls").agg(rep, *[F.first(c).alias(c) for c in same]), "classes")
-    member = classes.select("cls", "n_shingles", "sketch_a", "sketch_b", F.posexplode("bands").alias("band", "bucket"))
-    labels = bucket_components(member, ["band", "bucket"], alike, lambda pairs: linked(pairs, classes, docs, percent))
+    member = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
+    labels = bucket_components(member, ["band", "bucket"], classes.select("cls", "bands", *PAYLOAD), lambda x, y: alike(x, y, percent), lambda pairs: linked(pairs, classes, docs, percent))
 
     rooted = classes.select("cls", "rep").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("low"))
     named = rooted.join(lowest, "root").select("cls", "low")
-    out = signed.drop("bands", "sketch_a", "sketch_b").join(named, "cls", "left")
+    out = signed.drop("bands", *SKETCH, *MAP).join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("low.doc_id"))
     return out.select(
         "doc_id",

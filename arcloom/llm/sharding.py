@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stable
 
 
 def shard_documents(
@@ -35,7 +35,7 @@ def shard_documents(
     and texts pass through as they are; an empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = stable(df.select(id_col, text_col), "documents").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 8
     total, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
     n_buckets = max(least_buckets, -(-n_bytes // bucket_bytes))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stable
 
 CELLS = 4096
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -116,7 +116,7 @@ def write_archives(
     target, a null page_id sorts first. An empty table gives a folder with an empty manifest. Other columns are not read.
     """
     spark = pages.sparkSession
-    rows = pages.select(
+    rows = stable(pages.select("page_id", "url", "html"), "pages").select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row")
     ).withColumn("digest", F.unhex(F.sha1("payload")))
     low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
