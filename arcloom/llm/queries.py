@@ -104,5 +104,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+WORDS = "list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+#: The metrics, base rules and host verdicts of op10; the prior is the method of moments over hosts.
+QUALITY = rf"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, source, t, {WORDS} AS ws FROM w),
+g AS (SELECT doc_id, source, t, ws, list_transform(range(1, greatest(len(ws) - 6, 1)), lambda i: array_to_string(ws[i:i + 7], ' ')) AS gs FROM x),
+p AS (SELECT doc_id, g, list(i ORDER BY i) AS places FROM (SELECT doc_id, unnest(gs) AS g, unnest(range(1, len(gs) + 1)) AS i FROM g) GROUP BY doc_id, g HAVING count(*) > 1),
+q AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM (SELECT doc_id, unnest(places) AS i FROM p)),
+r AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS rep FROM q GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT s) AS dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS s FROM w) WHERE regexp_matches(s, '[^ 	-
+]') GROUP BY doc_id),
+m AS (SELECT g.doc_id, source, len(ws) AS n, list_sum(list_transform(ws, lambda y: length(y))) AS c, length(t) - length(translate(t, '#*$%&|<>', '')) AS s, coalesce(dup, 0) AS d, coalesce(rep, 0) AS e FROM g LEFT JOIN r ON g.doc_id = r.doc_id LEFT JOIN l ON g.doc_id = l.doc_id),
+v AS (SELECT *, n < 20 OR 100 * e > 30 * n AS base, s * 2 > n AS severe, s * 10 > n OR 100 * e > 20 * n OR d * 20 > n OR c > 10 * n OR c < 3 * n AS mild FROM m),
+h AS (SELECT source, count(*) AS k, sum(CASE WHEN base OR severe OR mild THEN 1 ELSE 0 END) AS f FROM v GROUP BY source),
+pr AS (SELECT mu, greatest(va - mu * (1 - mu) * iv, 1e-6) AS va FROM (SELECT avg(f / k) AS mu, var_pop(f / k) AS va, avg(1 / k) AS iv FROM h)),
+ab AS (SELECT mu * we AS a, (1 - mu) * we AS b FROM (SELECT mu, least(greatest(mu * (1 - mu) / va - 1, 1.0), 1e4) AS we FROM pr)),
+hv AS (SELECT source, (f + a) / (k + a + b) > 0.4 AS bad FROM h, ab)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(c, 0) AS BIGINT) AS word_chars, CAST(s AS BIGINT) AS n_symbols, CAST(d AS BIGINT) AS n_dup_lines, CAST(e AS BIGINT) AS n_repeat_words, base AS base_failed, NOT base AND NOT severe AND NOT (mild AND bad) AS kept
+FROM v JOIN hv ON v.source IS NOT DISTINCT FROM hv.source"""
+
+#: Page records: digests in base32, the largest page_id of equal payloads as the response.
+WARC = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex FROM p),
+o AS (SELECT page_id, n, hex, list_transform(range(0, 4), lambda k: CAST('0x' || substr(hex, 1 + 10 * k, 10) AS BIGINT)) AS five FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((five[1 + i // 8] >> (35 - 5 * (i % 8))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+CASE WHEN page_id = max(page_id) OVER (PARTITION BY hex) THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> max(page_id) OVER (PARTITION BY hex) THEN max(page_id) OVER (PARTITION BY hex) END AS refers_to FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": WARC, "op10_quality": QUALITY}
