@@ -508,3 +508,53 @@ def test_pipeline(docs, none, spark):
         assert stage(spark, none, "").count() == 0
     assert 0 < made.count() < docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, made, "").agg(F.sum("length")).first()[0] > 0
+
+
+def edited(rng, text, n, letters="abcdefghij"):
+    """text after n edits: letters changed, left out or put in."""
+    for _ in range(n):
+        at = rng.randrange(1, len(text) - 1)
+        text = text[:at] + rng.choice(["", rng.choice(letters), text[at] + rng.choice(letters)]) + text[at + 1 :]
+    return text
+
+
+def test_lines_edits(spark, tmp_path):
+    """Lines within the edit similarity go, whichever words the edits are in, and where there are hardly any words."""
+    from arcloom.llm.lines import dedup_lines
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    texts, pairs = [], []
+    for i in range(240):
+        base = " ".join(word() for _ in range(5 + i % 40))
+        if i % 6 == 5:  # a script without spaces, with a few marks that part words
+            base = "、".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20)) for _ in range(5))
+        clean = " ".join(base.replace("、", " ").split())
+        most = len(clean) // 10
+        other = edited(rng, clean, rng.choice([1, 2, max(1, most // 3)]))
+        other = " ".join(other.split())
+        texts += [base, other]
+        short = max(len(clean), len(other)) <= 59
+        pairs.append((edit(clean, other) * 10 <= max(len(clean), len(other)), short))
+    path = f"file://{tmp_path}/t"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.read.parquet(path), min_words=1, whole=True).collect()}
+    for must in (True, False):
+        found = [got[2 * i + 1] for i, (like, short) in enumerate(pairs) if like and short == must]
+        assert len(found) > 20 and sum(found) >= (1.0 if must else 0.97) * len(found)
+    assert not any(got[2 * i] for i in range(240)) and not any(got[2 * i + 1] for i, (like, _) in enumerate(pairs) if not like)
+
+
+def test_segment_keys(spark):
+    """Short lines within the edit similarity always share a key."""
+    from arcloom.llm.edits import segment_keys
+
+    rng = random.Random(6)
+    pairs = []
+    while len(pairs) < 3000:
+        x = "".join(rng.choice("ab c") for _ in range(rng.randrange(10, 60)))
+        y = edited(rng, x, max(1, len(x) // 10), "abc ")
+        if x != y and len(y) < 60 and edit(x, y) * 10 <= max(len(x), len(y)):
+            pairs.append((x, y))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    assert df.filter(~F.arrays_overlap(segment_keys(F.col("x"), F.length("x"), 90), segment_keys(F.col("y"), F.length("y"), 90))).count() == 0
