@@ -13,7 +13,7 @@ from .common import table
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents"), whole=True).select("doc_id", "n_lines", "n_dropped", "text")
+    return dedup_lines(table(spark, sf_dir, "documents"), min_words=1, whole=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

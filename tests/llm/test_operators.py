@@ -558,3 +558,19 @@ def test_segment_keys(spark):
             pairs.append((x, y))
     df = spark.createDataFrame(pairs, "x string, y string")
     assert df.filter(~F.arrays_overlap(segment_keys(F.col("x"), F.length("x"), 90), segment_keys(F.col("y"), F.length("y"), 90))).count() == 0
+
+
+def test_short_lines(spark, tmp_path):
+    """The query dedups lines of few words as any others; lines without a word stay."""
+    import corpus_pipeline
+    from arcloom.llm.queries import op1_lines
+
+    long = "これは空白のない長い行であり語は一つしかないが何度も出てくる"
+    texts = [f"menu\n{long}\n---\nonly here {i}x{i * 7919}" for i in range(6)] + ["Menu!", "a 1", "b 1"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_dropped, r.text) for r in op1_lines(spark, f"file://{tmp_path}").collect()}
+    assert got[0] == (0, texts[0]) and got[6] == (1, "") and got[7] == (0, "a 1") and got[8] == (0, "b 1")
+    assert all(got[i][1].startswith("---") and got[i][0] == 2 for i in range(1, 6))
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.lines(spark, docs, "").collect()} == {0, 1, 2, 3, 4, 5, 7, 8}
