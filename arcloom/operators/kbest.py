@@ -12,6 +12,10 @@ from .distance import all_path_distances
 from .project import reverse
 
 
+#: Arcs of a path, where the caller sets no limit.
+LIMIT = 1000
+
+
 def uniform(auto: Automaton) -> DataFrame | None:
     """No heuristic: every state may still gain a weight of one."""
     return None
@@ -22,14 +26,15 @@ def a_star(auto: Automaton) -> DataFrame:
     return all_path_distances(reverse(auto))
 
 
-def k_best(auto: Automaton, k: int, max_len: int = 1000, heuristic=a_star) -> DataFrame:
+def k_best(auto: Automaton, k: int, max_len: int | None = None, heuristic=a_star) -> DataFrame:
     """(auto_id, rank, labels array, text, weight): the k best accepting paths of each automaton, best first, ties by labels.
 
-    Paths, not distinct strings, of at most max_len arcs; empty labels do not show. Tropical weights are best small,
+    Paths, not distinct strings, of at most max_len arcs; without max_len, paths still open after LIMIT arcs are an error. Empty labels do not show. Tropical weights are best small,
     others large. A superstep extends every open path by an arc and keeps the k best that reach a state in that step: of
     those, no other can be among the k best in the end, where weights fall along a path. With a heuristic, paths that cannot beat the
     k-th accepted one any more are dropped."""
     ring, eps = auto.ring, F.lit(auto.epsilon)
+    given, max_len = max_len is not None, LIMIT if max_len is None else max_len
     order: Column = F.col("weight").desc() if ring.descending else F.col("weight").asc()
     arcs = settled(auto.arcs.filter(~ring.is_zero(F.col("weight"))).select("auto_id", F.col("src").alias("state"), "dst", "olabel", F.col("weight").alias("w")))
     final = settled(auto.final.filter(~ring.is_zero(F.col("weight"))).select("auto_id", "state", F.col("weight").alias("end")))
@@ -46,7 +51,7 @@ def k_best(auto: Automaton, k: int, max_len: int = 1000, heuristic=a_star) -> Da
         ended = front.join(final, ["auto_id", "state"]).select("auto_id", "labels", ring.times(F.col("weight"), F.col("end")).alias("weight"))
         done = ended if done is None else done.unionByName(ended)
         done = settled(done.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank"))
-        if steps.done > max_len:
+        if steps.done > max_len and given:
             break
         f, a = front.alias("f"), arcs.alias("a")
         after = f.join(a, (F.col("f.auto_id") == F.col("a.auto_id")) & (F.col("f.state") == F.col("a.state")))
@@ -59,6 +64,8 @@ def k_best(auto: Automaton, k: int, max_len: int = 1000, heuristic=a_star) -> Da
             open_ = (F.col("hope") >= F.col("worst") - slack) if ring.descending else (F.col("hope") <= F.col("worst") + slack)
             after = after.filter(F.col("n").isNull() | (F.col("n") < k) | open_).select("auto_id", "state", "labels", "weight")
         front = settled(after.withColumn("rank", F.row_number().over(here)).filter(F.col("rank") <= k).drop("rank"))
+    if not given and not front.isEmpty():
+        raise RuntimeError(f"k-best: paths are still open after {max_len} arcs")
     if done is None:
         done = front.select("auto_id", "labels", "weight")
     return done.withColumn("rank", F.row_number().over(best)).select("auto_id", "rank", "labels", F.array_join("labels", "").alias("text"), "weight")
