@@ -46,6 +46,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables that nothing needs once the block is left: they are deleted then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def stable(df: DataFrame, name: str) -> DataFrame:
     """df, whose rows can be numbered as they come: as it is if it only reads, filters and computes; else written first.
 

@@ -4,30 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node of its component.
 
     Alternates large-star and small-star steps, each a grouped minimum (summed before the shuffle) and a join back, and
-    writes the edges after each round; a component's diameter halves at least, so rounds grow with its logarithm."""
-    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "edges")
-        state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if state == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = state
+    writes the edges after each round; a component's diameter halves at least, so rounds grow with its logarithm. Loops
+    and repeated edges count for nothing; no edges give no rows."""
+    with Scratch(edges.sparkSession) as tables:
+
+        def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+            seen = Observation()
+            out = tables.written(df.observe(seen, F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("sum")), "edges")
+            return out, (seen.get["n"], seen.get["sum"])
+
+        now, mark = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        for _ in range(most_rounds):
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+            now, state = kept(small)
+            if state == mark:
+                roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+                return written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "labels")
+            mark = state
     raise RuntimeError("the components did not settle")
 
 
@@ -41,25 +48,35 @@ def bucket_components(
 
     First every bucket gives a star: its smallest node paired with each other one. Buckets that then still hold several
     components go on: their nodes outside the bucket's largest component are paired with the nodes of its other
-    components that alike allows. Pairs inside a component are never formed, and no link between buckets' nodes is lost."""
-    star = member.groupBy(*keys).agg(F.min("cls").alias("a"), F.count("*").alias("size")).filter("size > 1")
-    buckets = written(member.join(star, keys), "buckets")
-    pairs = written(buckets.filter("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "stars")
-    links = written(linked(pairs), "links")
-    labels = components(links)
+    components that alike allows. Pairs inside a component are never formed, and no link between buckets' nodes is lost.
+    The links found last join components, so they are followed over roots."""
+    with Scratch(member.sparkSession) as tables:
+        star = member.groupBy(*keys).agg(F.min("cls").alias("a"), F.count("*").alias("size")).filter("size > 1")
+        buckets = tables.written(member.join(star, keys), "buckets")
+        pairs = tables.written(buckets.filter("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "stars")
+        labels = components(tables.written(linked(pairs), "links"))
 
-    placed = buckets.drop("a", "size").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = written(placed, "placed")
-    shares = placed.groupBy(*keys, "root").agg(F.count("*").alias("n"))
-    apart = shares.groupBy(*keys).agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("most")).filter("parts > 1")
-    open_ = placed.join(apart.select(*keys, F.col("most.root").alias("most")), keys).join(payload, "cls")
-    x, y = open_.filter("root <> most").alias("x"), open_.alias("y")
-    on = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.cls") < F.col("y.cls"))) & alike("x", "y")
-    for k in keys:
-        on = (F.col(f"x.{k}") == F.col(f"y.{k}")) & on
-    more = x.join(y, on).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "rest")
-    if more.isEmpty():
-        return labels
-    extra = written(linked(more), "links")
-    return labels if extra.isEmpty() else components(links.unionByName(extra))
+        placed = buckets.drop("a", "size").join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        placed = tables.written(placed, "placed")
+        shares = placed.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+        apart = shares.groupBy(*keys).agg(F.count("*").alias("parts"), F.max(F.struct("n", "root")).alias("most")).filter("parts > 1")
+        open_ = placed.join(apart.select(*keys, F.col("most.root").alias("most")), keys).join(payload, "cls")
+        x, y = open_.filter("root <> most").alias("x"), open_.alias("y")
+        on = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.most")) | (F.col("x.cls") < F.col("y.cls"))) & alike("x", "y")
+        for k in keys:
+            on = (F.col(f"x.{k}") == F.col(f"y.{k}")) & on
+        more = x.join(y, on).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        more = tables.written(more.join(pairs, ["a", "b"], "left_anti"), "rest")
+        if more.isEmpty():
+            return labels
+        extra = tables.written(linked(more), "links")
+        if extra.isEmpty():
+            return labels
+        root_of = lambda at: labels.select(F.col("node").alias(at), F.col("root").alias(f"root_{at}"))
+        across = extra.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        across = across.select("a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b"))
+        joined = components(across.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        fresh = across.select(F.explode(F.array("root_a", "root_b")).alias("node")).distinct().join(labels, "node", "left_anti")
+        every = labels.unionByName(fresh.select("node", F.col("node").alias("root")))
+        moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        return written(every.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")

@@ -538,7 +538,7 @@ def test_lines_edits(spark, tmp_path):
         pairs.append((edit(clean, other) * 10 <= max(len(clean), len(other)), short))
     path = f"file://{tmp_path}/t"
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
-    got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.read.parquet(path), min_words=1, whole=True).collect()}
+    got = {r.doc_id: r.n_dropped for r in dedup_lines(spark.read.parquet(path)).collect()}
     for must in (True, False):
         found = [got[2 * i + 1] for i, (like, short) in enumerate(pairs) if like and short == must]
         assert len(found) > 20 and sum(found) >= (1.0 if must else 0.97) * len(found)
