@@ -29,6 +29,23 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def other_encoder(path: str):
+    """The same vocabulary in the tokenizers library, from the file beside it."""
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+
+
+def ids_of(path: str, text: str) -> np.ndarray:
+    """The ids of a text. Very long runs of white space are beyond the first library, which says so; the other one gives
+    the same ids."""
+    try:
+        return encoder(path).encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        return np.array(other_encoder(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 @functools.lru_cache(maxsize=4)
 def ends_sentence(path: str) -> np.ndarray:
     """For each id, whether a sentence or line can end behind it."""

@@ -135,20 +135,21 @@ def pack_documents(
 
     Returns one row a piece: doc_id, start, length, doc_tokens, sequence_id, offset (long) and ids (the piece's ids as
     little-endian unsigned 32-bit integers). Repeated rows and repeated or null doc_ids are documents of their own, told
-    apart by where they lie in the sequences. An empty table gives no rows. Extra columns are not read.
+    apart by where they lie in the sequences; very long texts (long blank runs, too) are cut over sequences like any other. An empty table
+    gives no rows. Extra columns are not read.
     """
     vocabulary = vocabulary or bpe.public_file("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        code, stop = bpe.encoder(vocabulary), bpe.ends_sentence(vocabulary)
+        stop = bpe.ends_sentence(vocabulary)
 
         def docs():
             for batch in batches:
                 names, texts = batch.column(0), batch.column(1)
                 for i in range(batch.num_rows):
-                    ids = np.append(code.encode_to_numpy(texts[i].as_py() or "", disallowed_special=()), np.uint32(end_id))
+                    ids = np.append(bpe.ids_of(vocabulary, texts[i].as_py() or ""), np.uint32(end_id))
                     yield names[i].as_py(), names.type, ids
 
         for out in pack_stream(docs(), stop, width, chunk, grain, TaskContext.get().partitionId() << 36):
