@@ -10,13 +10,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, stable
 
-CELLS = 4096
+#: Rows whose places and sizes reach the driver to cut the shards; more are drawn from by a hash.
+SAMPLE = 1 << 16
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -93,19 +95,52 @@ class Roller:
         return {"temporary": f"{self.folder}/{self.name}", "name": self.name, "bytes": self.size, "records": self.records, "sha1": self.sum.hexdigest()}
 
 
+class Edges:
+    """The first rows (page_id, row; null first) of all shards but the first."""
+
+    def __init__(self, rows: DataFrame, shard_bytes: int):
+        size = F.octet_length("payload") + 512
+        n, total = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+        share = 1 << 20 if n <= SAMPLE else (SAMPLE << 20) // n + 1
+        drawn = rows.filter(F.pmod(F.xxhash64("page_id", "row"), F.lit(1 << 20)) < share).select("page_id", "row", size.alias("size")).collect()
+        drawn.sort(key=lambda r: (r.page_id is not None, r.page_id or 0, r.row))
+        ends = np.cumsum([r.size for r in drawn])
+        n_shards = max(1, min(-(-total // shard_bytes), SAMPLE // 16))
+        at = np.unique(np.searchsorted(ends, ends[-1] * np.arange(1, n_shards) / n_shards, side="right")) if n else []
+        first = [drawn[k] for k in at if 0 < k < len(drawn)]
+        self.n_null = sum(r.page_id is None for r in first)
+        self.ids = np.array([r.page_id or 0 for r in first], np.int64)
+        self.rows = np.array([r.row for r in first], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def shard(self, ids: np.ndarray, null: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """How many of the edges come before or with each row."""
+        k = self.n_null
+        own = self.ids[k:]
+        out = np.where(null, np.searchsorted(self.rows[:k], rows, side="right"), k + np.searchsorted(own, ids, side="left"))
+        for i in np.unique(own):  # an id that may be in several shards
+            a, b = np.searchsorted(own, [i, i + 1]) if i < np.iinfo(np.int64).max else (np.searchsorted(own, i), len(own))
+            at = np.flatnonzero(~null & (ids == i))
+            out[at] = k + a + np.searchsorted(self.rows[k + a : k + b], rows[at], side="right")
+        return out.astype(np.int32)
+
+
 def write_archives(
     pages: DataFrame,
     path: str | None = None,
-    shard_bytes: int = 32 << 20,
-    roll_bytes: int = 256 << 20,
+    shard_bytes: int = 64 << 20,
+    roll_bytes: int = 4 << 20,
     level: int = 6,
     date: str = "2024-01-01T00:00:00Z",
 ) -> str:
     """Write a WARC record for each row of pages (page_id, url, html) and return the archives' folder.
 
-    Rows are range-sorted by page_id: CELLS equal ranges of page_id are counted (so many numbers reach the driver at
-    most), neighbouring cells form shards of about shard_bytes, and a cell too large for one shard, such as a hot
-    page_id or the null one, is dealt over several by row number. A task writes its shards in page_id order under
+    Rows are range-sorted by page_id: shards of about shard_bytes are cut at quantiles of (page_id, row), taken from at
+    most some SAMPLE rows that a hash draws (all rows, where these are no more), weighed by their bytes; so far-off
+    page_ids move no edge, a hot or the null one may span shards, and beyond SAMPLE / 16 shards they are larger. A task
+    writes its shard in page_id order, starts a new file before one gets larger than roll_bytes (compressed), uses
     temporary names in a folder of its own and returns a manifest row a file; the driver then moves the files of the
     attempts that succeeded to their names and writes MANIFEST.json last, so a lost or repeated task leaves nothing
     behind. Names, order, headers and bytes depend on the rows and their partitioning only.
@@ -113,35 +148,27 @@ def write_archives(
     Of records with equal payloads the one with the largest page_id (the last row of it, if it repeats) is the
     response, the others are revisits that refer to it; a small row that says so goes ahead of each page that has copies, so
     the pages themselves are shuffled once. A null html is an empty payload, a null url leaves out the
-    target, a null page_id sorts first. An empty table gives a folder with an empty manifest. Other columns are not read.
+    target, a null page_id sorts first. An empty table gives a folder with an empty manifest; very long texts are records like any
+    other, larger than a file's limit if need be. Other columns are not read.
     """
     spark = pages.sparkSession
     rows = stable(pages.select("page_id", "url", "html"), "pages").select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row")
     ).withColumn("digest", F.unhex(F.sha1("payload")))
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (low or 0), (high or 0)
-    cell = cell_of("page_id", low, high)
-    sizes = dict(rows.groupBy(cell.alias("c")).agg(F.sum(F.octet_length("payload") + 512)).collect())
-    plan, shard, held = [], -1, shard_bytes
-    for c in sorted(sizes):
-        n = -(-sizes[c] // (2 * shard_bytes))
-        if n > 1 or held + sizes[c] > shard_bytes:
-            shard, held = shard + 1, 0
-        plan.append((c, shard, n))
-        held += sizes[c]
-        if n > 1:
-            shard, held = shard + n - 1, shard_bytes
-    deal = F.broadcast(spark.createDataFrame(plan or [(0, 0, 1)], "c int, first int, n int"))  # CELLS rows at most
+    edges = Edges(rows, shard_bytes)
+
+    @F.arrow_udf("int")
+    def shard_of(ids: pa.Array, null: pa.Array, row: pa.Array) -> pa.Array:
+        return pa.array(edges.shard(ids.to_numpy(), null.to_numpy(zero_copy_only=False), row.to_numpy()))
+
     kept = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "row")).alias("keep")).filter("n > 1").drop("n")
     told = rows.select("page_id", "row", "digest").join(kept, "digest").select("page_id", "row", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), F.col("keep.page_id").alias("keep_id"), F.col("keep.row").alias("keep_row"))
     pages = rows.select("page_id", "row", "url", "payload", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"))
+    shard = shard_of(F.coalesce("page_id", F.lit(0)), F.col("page_id").isNull(), F.col("row"))
     dealt = (
         pages.unionByName(told)
-        .withColumn("c", cell)
-        .join(deal, "c")
-        .select((F.col("first") + F.pmod("row", "n")).cast("int").alias("shard"), "page_id", "row", "url", "payload", "keep_id", "keep_row")
-        .repartition(max(1, shard + 1), "shard")
+        .select(shard.alias("shard"), "page_id", "row", "url", "payload", "keep_id", "keep_row")
+        .repartitionById(len(edges) + 1, F.col("shard"))
         .sortWithinPartitions("shard", F.asc_nulls_first("page_id"), "row", F.col("payload").isNotNull())
     )
     root = (path or scratch(spark, "warc")).rstrip("/")
@@ -177,11 +204,6 @@ def write_archives(
     return root
 
 
-def cell_of(name: str, low: int, high: int) -> Column:
-    width = max(1, -(-(high - low + 1) // CELLS))
-    return F.coalesce(F.floor((F.col(name) - low) / width).cast("int"), F.lit(-1))
-
-
 def members(stream) -> Iterator[bytes]:
     """The gzip members of a stream, one at a time."""
     data = b""
