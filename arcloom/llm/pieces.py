@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -17,6 +18,8 @@ SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 NEVER = np.int64(1 << 60)
+#: Characters beyond which words are cut at joints, and words of one length from which they advance together.
+CUT_FROM, FEW = 48, 12
 
 
 def code_points(text: str) -> np.ndarray:
@@ -82,6 +85,9 @@ class PieceModel:
             self.key_ids.append(at)
             self.maybe.append(np.zeros(1 << 18, bool))  # by a hash's first 18 bits: most substrings need no search
             self.maybe[n][self.hash[at] >> np.uint64(46)] = True
+        self.usable = {self.text[i]: int(i) for i in usable}
+        self.joints = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.scalar_memo: dict[tuple[int, int], bool] = {}
         self.unknown_score = float(self.score[own].min()) - 10
         self.memo_key = np.full(1 << 20, -1, np.int64)
         self.memo_ok = np.zeros(1 << 20, bool)
@@ -212,6 +218,43 @@ class PieceModel:
         table = picked[size - count :].T.tolist()
         return [r[count - k :] for r, k in zip(table, found.tolist(), strict=True)]
 
+    def cut(self, word: str) -> list[str]:
+        """The word cut wherever no piece holds the two characters that meet: no piece goes across, and no merge does."""
+        at = [k for k, pair in enumerate(map(operator.add, word, word[1:]), 1) if pair not in self.joints]
+        return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)]
+
+    def alone(self, word: str) -> list[int]:
+        """viterbi for one word, in steps of one character and one piece: for lengths of which there are few words."""
+        n = len(word)
+        best, last, step = [0.0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            top = -np.inf
+            for width in range(1, min(end, self.longest) + 1):
+                own = self.usable.get(word[end - width : end])
+                if own is None:
+                    if width > 1:
+                        continue
+                    own = -2 - ord(word[end - 1])
+                before = last[end - width]
+                if self.bpe:
+                    if before >= 0 and own >= 0:
+                        ok = self.scalar_memo.get((before, own))
+                        if ok is None:
+                            ok = self.scalar_memo[before, own] = bool(self.pairs_hold(np.array([before]), np.array([own]))[0])
+                        if not ok:
+                            continue
+                    gain = 0.0
+                else:
+                    gain = best[end - width] + (self.unknown_score if own < 0 else float(self.score[own]))
+                if gain > top:
+                    top, last[end], step[end] = gain, own, width
+            best[end] = top
+        out, end = [], n
+        while end:
+            out.append(last[end])
+            end -= step[end]
+        return out[::-1]
+
     def final(self, raw: list[int]) -> list[int]:
         """Unknown characters as bytes, if the model has them."""
         if min(raw) >= 0:
@@ -240,19 +283,35 @@ class PieceModel:
         """Put the ids of chunks (spaces and a word each) into the cache."""
         lengths: dict[int, list[str]] = defaultdict(list)
         tails: dict[str, str] = {}
+        parts: dict[str, list[str]] = {}
+
+        def want(word: str) -> None:
+            if len(word) <= CUT_FROM:
+                lengths[len(word)].append(word)
+                return
+            parts[word] = self.cut(word)
+            for part in parts[word]:
+                if part not in self.cache:
+                    lengths[len(part)].append(part)
+
         for c in chunks:
             if c[:2] == SPACE * 2 and self.bpe and self.runs:
                 word = c.lstrip(SPACE)
                 tails[c] = SPACE + word if word else ""
                 if word and tails[c] not in self.cache:
-                    lengths[len(word) + 1].append(tails[c])
+                    want(tails[c])
             else:
-                lengths[len(c)].append(c)
-        for size, words in lengths.items():
+                want(c)
+        for words in lengths.values():
             words = list(dict.fromkeys(words))
+            if len(words) < FEW:
+                self.cache |= {w: self.final(self.alone(w)) for w in words}
+                continue
             for i in range(0, len(words), 50_000):
                 for w, raw in zip(words[i : i + 50_000], self.viterbi(words[i : i + 50_000]), strict=True):
                     self.cache[w] = self.final(raw)
+        for word, own in parts.items():
+            self.cache[word] = list(itertools.chain.from_iterable(self.cache[p] for p in own))
         for c, core in tails.items():
             k = len(c) - len(c.lstrip(SPACE))
             own = self.cache[core] if core else []
@@ -273,6 +332,7 @@ class PieceModel:
         and the words that are new to all slices go through one pass of viterbi."""
         if len(self.cache) > most_cached:
             self.cache.clear()
+            self.scalar_memo.clear()
         number: dict[int, int] = {}
         chunks: list[str] = []
         placed = []
@@ -363,7 +423,8 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     A worker encodes pass_bytes of text in a pass, slice_bytes at a time, and keeps the ids of up to some hundred thousand words it has met.
     exact (null unless check): whether decoding the ids gives the text; a text that holds U+2581 gives a space there, as
-    in the model's own library. Null and empty texts have no ids. Repeated rows give repeated rows, an empty table none;
+    in the model's own library. Words are told apart by 64-bit hashes within a pass; a clash, were there one, would show in exact.
+    Null and empty texts have no ids, very long ones are encoded whole. Repeated rows give repeated rows, an empty table none;
     other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
