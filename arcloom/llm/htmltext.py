@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)", re.S)
+#: Each alternative goes on to its end or the page's and never back, so a page is read in one pass, however broken. As in
+#: browsers, quotes count behind an equals sign alone.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</?[A-Za-z](?>[^>=]++|=\s*+(?>\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|))*+(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+("[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>]++)""")
+QUOTED = re.compile(r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)")
+#: Elements that nest at most; deeper ones stand beside each other, as in browsers.
+DEEPEST = 512
 BLANK = re.compile(r"\s+")
 
 # Element names of the HTML standard by what they do, and names that sites give to what is not the article.
@@ -121,11 +126,13 @@ class Page:
             path = xxhash.xxh64_intdigest(label, seed=path & 0xFFFFFFFF)
             is_main = name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "") == "articleBody"
             names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-            outside = outside or name in OUTSIDE or (name == "header" and not inside) or attributes.get("role", "").lower() in OUTSIDE_ROLE or "hidden" in re.split(r"[\s>]", re.sub(r"\"[^\"]*\"|'[^']*'", "", tag)) or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+            outside = outside or name in OUTSIDE or (name == "header" and not inside) or attributes.get("role", "").lower() in OUTSIDE_ROLE or "hidden" in re.split(r"[\s>]", QUOTED.sub("", tag)) or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
             if not outside and name not in ("html", "body") and not is_main and names.strip():
                 outside = bool(OUTSIDE_WORD.search(names))
             if is_main and not outside:
                 inside = self.has_main = True
+            if len(stack) >= DEEPEST:
+                pop(DEEPEST - 1)
             stack.append((name, n, path, outside, inside))
             self.path_of[n] = path
             if name not in INLINE:
