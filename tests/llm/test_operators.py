@@ -315,12 +315,14 @@ def small_known(texts, n_ids=12, top=6):
     return Known.of(np.bincount(flat, minlength=n_ids), pairs, inputs, outputs, begins, end), Counter([*node.tolist(), *stops.tolist()])
 
 
-def chunk(texts, known, count, held=False):
+def chunk(texts, known, count):
+    """A chunk of texts of ids that begin with a word, a word for each of theirs."""
     from arcloom.llm.scoring import Chunk, nodes
 
-    flat = np.concatenate([np.append(t, known.end_id) for t in texts])
-    keys = np.unique(np.concatenate(nodes(flat, known.begins)))
-    return Chunk(flat, np.array([len(t) + 1 for t in texts]), np.full(len(texts), held), keys, np.array([count[k] for k in keys.tolist()]), known)
+    own = np.concatenate([np.append(t, known.end_id) for t in texts])
+    keys = np.unique(np.concatenate(nodes(own, known.begins)))
+    n_words = np.array([int(known.begins[t].sum()) + 1 for t in texts])
+    return Chunk(own, np.arange(n_words.sum()), n_words, np.zeros(len(texts), bool), keys, np.array([count[k] for k in keys.tolist()]), known)
 
 
 def wordy(rng, n):
@@ -473,36 +475,19 @@ def edit(a, b):
     return row[-1]
 
 
-def test_lines(spark, none, tmp_path):
-    import xxhash
-
-    from arcloom.llm.lines import DIFFER, GAPS, dedup_lines
+def line_drops(order):
+    """Which lines of rows (doc_id, text) go, by all pairs of lines and plain edit similarity."""
+    from arcloom.llm.lines import GAPS
 
-    rng = random.Random(9)
-    pool = [" ".join(f"word{rng.randrange(400)}" for _ in range(rng.randrange(5, 60))) for _ in range(40)]
-    pool += [p.replace("word1", "wordy1", 1) for p in pool[:15]] + [p.upper() + "!" for p in pool[15:20]] + ["short line", "", "ab " * 200]
-    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(60)] + [None, "", "\n\n"]
-    path = f"file://{tmp_path}/t"
-    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(5, texts[5], "x")], "doc_id long, text string, n_lines string").coalesce(1).write.parquet(path)
-    df = spark.read.parquet(path)
-    order = [(r.doc_id, r.text) for r in df.collect()]
     gaps = {ord(c): " " for c in GAPS}
     where = defaultdict(list)
-    for r, (_, t) in enumerate(order):
+    for r, (i, t) in enumerate(order):
         for p, x in enumerate((t or "").split("\n")):
             w = [y for y in x.lower().translate(gaps).split(" ") if y]
-            if len(w) >= 5:
-                where[" ".join(w)].append((r, p))
-
-    def simhash(norm):
-        w = norm.split(" ")
-        own = [x for x in w if len(x) > 4]
-        h = np.array([xxhash.xxh64(x.encode(), seed=42).intdigest() for x in (own if len(own) >= 3 else w)], np.uint64)
-        bits = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0)
-        return sum(1 << j for j in range(64) if 2 * bits[j] > len(h))
-
+            if w:
+                where[" ".join(w)].append((-1 if i is None else i, r, p))
     norms = list(where)
-    sims, parent = [simhash(x) for x in norms], list(range(len(norms)))
+    parent = list(range(len(norms)))
 
     def find(x):
         while parent[x] != x:
@@ -511,19 +496,39 @@ def test_lines(spark, none, tmp_path):
 
     for i in range(len(norms)):
         for j in range(i):
-            if (sims[i] ^ sims[j]).bit_count() <= DIFFER and edit(norms[i], norms[j]) <= max(len(norms[i]), len(norms[j])) * 10 // 100:
+            most = max(len(norms[i]), len(norms[j])) * 10 // 100
+            if abs(len(norms[i]) - len(norms[j])) <= most and edit(norms[i], norms[j]) <= most:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     groups, drop = defaultdict(list), defaultdict(set)
     for i, x in enumerate(norms):
         groups[find(i)] += where[x]
     for own in groups.values():
-        for r, p in sorted(own)[1:]:
+        for _, r, p in sorted(own)[1:]:
             drop[r].add(p)
+    return drop
+
+
+def test_lines(spark, none, tmp_path):
+    """Against brute force by plain edit similarity: what stays of each text, also for repeated rows, nulls, ties and clashing names."""
+    from arcloom.llm.lines import dedup_lines
+
+    rng = random.Random(9)
+    pool = [" ".join(f"word{rng.randrange(400)}" for _ in range(rng.randrange(5, 60))) for _ in range(40)]
+    pool += [p.replace("word1", "wordy1", 1) for p in pool[:15]] + [p.upper() + "!" for p in pool[15:20]] + ["short line", "", "ab " * 200]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(60)] + [None, "", "\n\n"]
+    path = f"file://{tmp_path}/t"
+    rows = [(i, t, "x", "r") for i, t in enumerate(texts)] + [(5, texts[5], "x", "r"), (None, texts[7], None, None)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string, n_lines string, row string").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    order = [(r.doc_id, r.text) for r in df.collect()]
+    drop = line_drops(order)
     want = Counter()
     for r, (i, t) in enumerate(order):
         left = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in drop[r])
         want[i, left, len((t or "").split("\n")), len(drop[r])] += 1
     got = dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "row", "n_lines", "n_dropped"]
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == want
     assert dedup_lines(none).count() == 0
 
@@ -550,18 +555,53 @@ def test_components(spark):
 
 
 def test_pipeline(docs, none, spark):
-    import corpus_pipeline
+    """Each stage against brute force, on what its predecessor kept."""
+    import duckdb
 
-    made = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, made, "")
-        assert out.columns == docs.columns, name
-        path = f"{spark.conf.get('spark.checkpoint.dir')}/stage-{name}"
-        out.write.mode("overwrite").parquet(path)
+    import corpus_pipeline
+    from arcloom.llm.queries import QUALITY
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "lines", "near_duplicates", "packing"]
+    # rows that SQL can tell apart by doc_id: one of each
+    made = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    made.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stage-in")
+    made = spark.read.parquet(f"{folder}/stage-in")
+    out = {}
+    for name in ("quality", "lines", "near_duplicates"):
+        got = stages[name](spark, made, "")
+        assert got.columns == docs.columns, name
+        assert stages[name](spark, none, "").count() == 0
+        path = f"{folder}/stage-{name}"
+        got.coalesce(1).write.mode("overwrite").parquet(path)
+        out[name] = ([(r.doc_id, r.text) for r in made.collect()], [(r.doc_id, r.text, r.n_chars) for r in spark.read.parquet(path).collect()])
         made = spark.read.parquet(path)
-        assert stage(spark, none, "").count() == 0
-    assert 0 < made.count() < docs.count()
-    assert corpus_pipeline.STAGES[-1][1](spark, made, "").agg(F.sum("length")).first()[0] > 0
+
+    before, after = out["quality"]
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{(folder + '/stage-in').removeprefix('file://')}/*.parquet'")
+    kept = {r[0] for r in db.execute(f"select doc_id from ({QUALITY}) where kept").fetchall()}
+    assert {r[0] for r in after} == kept and len(after) == len(kept)
+
+    before, after = out["lines"]
+    drop, want = line_drops(before), {}
+    for r, (i, t) in enumerate(before):
+        left = "\n".join(x for p, x in enumerate(t.split("\n")) if p not in drop[r])
+        if not drop[r] or words(left):
+            want[i] = (left, len(left) if drop[r] else 1)
+    assert {i: (t, n) for i, t, n in after} == want
+
+    before, after = out["near_duplicates"]
+    roots = linked(range(len(before)), [shingles(t) for _, t in before])
+    groups = defaultdict(list)
+    for (i, t), g in zip(before, roots, strict=True):
+        groups[g].append(i)
+    assert {r[0] for r in after} == {min(g) for g in groups.values()} and len(after) == len(groups)
+
+    pieces = stages["packing"](spark, made, "").collect()
+    assert {r.doc_id for r in pieces} == {r[0] for r in after} and all(r.length > 0 and r.offset + r.length <= 1024 for r in pieces)
+    assert stages["packing"](spark, none, "").count() == 0
 
 
 def edited(rng, text, n, letters="abcdefghij"):
