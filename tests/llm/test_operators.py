@@ -467,12 +467,21 @@ def test_bad_host(spark):
 
 
 def edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edit distance, a row of the table at a time as bits of a number."""
+    if not a:
+        return len(b)
+    where, m = defaultdict(int), len(a)
+    for i, c in enumerate(a):
+        where[c] |= 1 << i
+    full, top, up, down, score = (1 << m) - 1, 1 << (m - 1), (1 << m) - 1, 0, m
+    for c in b:
+        eq = where.get(c, 0)
+        xv, xh = eq | down, (((eq & up) + up) ^ up) | eq
+        ph, mh = (down | ~(xh | up)) & full, up & xh
+        score += bool(ph & top) - bool(mh & top)
+        ph, mh = ((ph << 1) | 1) & full, (mh << 1) & full
+        up, down = (mh | ~(xv | ph)) & full, ph & xv
+    return score
 
 
 def line_drops(order):
@@ -487,6 +496,7 @@ def line_drops(order):
             if w:
                 where[" ".join(w)].append((-1 if i is None else i, r, p))
     norms = list(where)
+    counts = [Counter(x) for x in norms]
     parent = list(range(len(norms)))
 
     def find(x):
@@ -497,7 +507,8 @@ def line_drops(order):
     for i in range(len(norms)):
         for j in range(i):
             most = max(len(norms[i]), len(norms[j])) * 10 // 100
-            if abs(len(norms[i]) - len(norms[j])) <= most and edit(norms[i], norms[j]) <= most:
+            apart = sum(((counts[i] - counts[j]) + (counts[j] - counts[i])).values()) > 2 * most  # an edit changes two counts at most
+            if abs(len(norms[i]) - len(norms[j])) <= most and not apart and edit(norms[i], norms[j]) <= most:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     groups, drop = defaultdict(list), defaultdict(set)
     for i, x in enumerate(norms):
