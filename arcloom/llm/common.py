@@ -95,6 +95,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df has, for columns of the operator's own."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns whose names clash, in any case, with those that the operator adds."""
     taken = {n.lower() for n in names}

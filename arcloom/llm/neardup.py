@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import written
+from .common import spare_prefix, written
 from .graph import bucket_components
 
 BINS, ROWS, BANDS = 256, 4, 32
@@ -167,6 +167,8 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     doc_ids take part, never name a component that has another id, and count as their own where they stand alone;
     repeated rows share class and component. An empty table gives no rows. Other columns are not read.
     """
+    if percent < 75:
+        raise ValueError("links below 75 percent would be missed")
     docs = keyed(df, id_col, text_col)
     schema = "doc_id long, text_hash long, n_shingles long, cls binary, bands array<long>, " + ", ".join(f"{c} long" for c in (*SKETCH, *MAP))
     signed = written(docs.select("doc_id", "text_hash", "text").mapInArrow(sign, schema), "signed")
@@ -193,10 +195,11 @@ def near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", te
 
 def without_near_duplicates(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows without all but one document of each group, all columns kept. Rows without words stay, repeated ones too;
-    of repeated rows with words one stays."""
-    spare = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+    of repeated rows with words one stays. An empty table gives none; very long texts are compared whole."""
+    own_id, own_hash = (spare_prefix(df) + n for n in ("id", "hash"))
+    spare = {own_id: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), own_hash: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
     groups = near_duplicates(df, percent, id_col, text_col).filter("chosen and n_shingles > 0")
-    chosen = groups.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    chosen = groups.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
     has_word = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    worded = df.filter(has_word).withColumns(spare).join(chosen, ["__id", "__hash"]).dropDuplicates(["__id", "__hash"])
+    worded = df.filter(has_word).withColumns(spare).join(chosen, [own_id, own_hash]).dropDuplicates([own_id, own_hash])
     return worded.select(*[f"`{c}`" for c in df.columns]).unionByName(df.filter(~has_word))

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import spare_prefix, without, written
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -52,14 +52,15 @@ def with_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
     has_word = lambda x: F.length(F.translate(x, BLANK, "")) > 0
     dup = let(F.filter(F.split(text, "\n"), has_word), lambda a: F.size(a) - F.size(F.array_distinct(a)))
     own = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")))
+    name = spare_prefix(df) + "own"
     return (
-        df.withColumn("__own", own)
-        .withColumn("n_words", F.col("__own.n_words"))
+        df.withColumn(name, own)
+        .withColumn("n_words", F.col(f"{name}.n_words"))
         .withColumn("word_chars", F.length(F.translate(text, BLANK, "")).cast("long"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", dup.cast("long"))
-        .withColumn("n_repeat_words", F.col("__own.n_repeat_words"))
-        .drop("__own")
+        .withColumn("n_repeat_words", F.col(f"{name}.n_repeat_words"))
+        .drop(name)
     )
 
 
@@ -104,19 +105,21 @@ def host_quality(df: DataFrame, host_col: str = "source", text_col: str = "text"
     own = without(df, *METRICS, "base_failed", "kept")
     carry = [c for c in (carry or own.columns) if c in own.columns]
     host = F.col(host_col).cast("string") if host_col in own.columns else F.lit(None).cast("string")
-    judged = with_metrics(own.withColumn("__host", host), text_col)
+    mark = spare_prefix(own)
+    judged = with_metrics(own.withColumn(f"{mark}host", host), text_col)
     own_rules = rules()
     judged = written(
-        judged.select(*[F.col(f"`{c}`") for c in carry], "__host", *METRICS, *[r.alias(f"__{k}") for k, r in own_rules.items()]), "quality"
+        judged.select(*[F.col(f"`{c}`") for c in carry], f"{mark}host", *METRICS, *[r.alias(f"{mark}{k}") for k, r in own_rules.items()]), "quality"
     )
-    failed = F.col("__base") | F.col("__severe") | F.col("__mild")
-    hosts = written(host_verdicts(judged.select(F.coalesce(F.concat(F.lit("h"), "__host"), F.lit("-")).alias("host"), failed.alias("failed")), bad_rate), "hosts")
-    verdict = hosts.select(F.col("host").alias("__key"), F.col("bad").alias("__bad"))
+    base, severe, mild = (F.col(mark + k) for k in ("base", "severe", "mild"))
+    failed = base | severe | mild
+    hosts = written(host_verdicts(judged.select(F.coalesce(F.concat(F.lit("h"), f"{mark}host"), F.lit("-")).alias("host"), failed.alias("failed")), bad_rate), "hosts")
+    verdict = hosts.select(F.col("host").alias(f"{mark}key"), F.col("bad").alias(f"{mark}bad"))
     if hosts.count() <= MOST_BROADCAST:
         verdict = F.broadcast(verdict)
-    kept = ~F.col("__base") & ~F.col("__severe") & ~(F.col("__mild") & F.col("__bad"))
+    kept = ~base & ~severe & ~(mild & F.col(f"{mark}bad"))
     return (
-        judged.withColumn("__key", F.coalesce(F.concat(F.lit("h"), "__host"), F.lit("-")))
-        .join(verdict, "__key")
-        .select(*[F.col(f"`{c}`") for c in carry], *METRICS, F.col("__base").alias("base_failed"), kept.alias("kept"))
+        judged.withColumn(f"{mark}key", F.coalesce(F.concat(F.lit("h"), f"{mark}host"), F.lit("-")))
+        .join(verdict, f"{mark}key")
+        .select(*[F.col(f"`{c}`") for c in carry], *METRICS, base.alias("base_failed"), kept.alias("kept"))
     )
