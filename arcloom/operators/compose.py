@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.plans.iterate import Steps, settled, together
+from arcloom.plans.iterate import Growing, Steps, counted, settled, together
 from arcloom.sources.automaton import ARCS, STATES, Automaton
 
 from .project import as_transducer, output_projection
@@ -18,21 +18,39 @@ NO_EPS, LEFT_EPS, RIGHT_EPS = 0, 1, 2
 Weigh = Callable[[Column, Column, Column, Column, Column], Column]
 
 
-def _state(left: Column, right: Column, status: Column | int) -> Column:
-    status = F.lit(status) if isinstance(status, int) else status
-    return F.struct(left.alias("l"), right.alias("r"), status.cast("byte").alias("e"))
+@dataclass(frozen=True)
+class StateComposer:
+    """How two states and the filter's status make one state, and how they are read from it."""
 
+    pack: Callable[[Column, Column, Column], Column]
+    parts: Callable[[Column], tuple[Column, Column, Column]]
 
-def compose(left: Automaton, right: Automaton, weigh: Weigh | None = None, max_steps: int = 10_000) -> Automaton:
+
+#: States of any type, as structs (l, r, e).
+STRUCTS = StateComposer(lambda l, r, e: F.struct(l.alias("l"), r.alias("r"), e.cast("byte").alias("e")), lambda s: (s["l"], s["r"], s["e"]))
+
+
+def dense_composer(left_size: int) -> StateComposer:
+    """For dense automata (states 0, 1, ..., of which the left side has left_size): numbers e + 3 * (l + left_size * r)."""
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    return StateComposer(
+        lambda l, r, e: (e + 3 * (l + left_size * r)).cast("long"),
+        lambda s: (div(s, 3) % left_size, div(s, 3 * left_size), (s % 3).cast("byte")),
+    )
+
+
+def compose(left: Automaton, right: Automaton, weigh: Weigh | None = None, max_steps: int = 10_000, composer: StateComposer = STRUCTS) -> Automaton:
     """left's outputs joined with right's inputs; only the accessible part is made.
 
-    A state is (l, r, e). e tells which side has moved alone on epsilon last: while left does, right may not, and the other
+    A state is composer's form of (l, r, e). e tells which side has moved alone on epsilon last: while left does, right may not, and the other
     way round, and both move together only from neither; so each pair of paths is counted once. weigh(in, mid, out, w1, w2) gives
     an arc's weight, the ring's product by default; a side that stays put weighs one and has epsilon for mid and its label.
     A shared side has one automaton for all auto_ids of the other. Each step joins the frontier with both sides' arcs, on
     state, and on label where both move.
     """
-    ring, eps = left.ring, F.lit(left.epsilon)
+    ring, eps = left.ring, left.eps
+    _state = lambda l, r, e: composer.pack(l, r, F.lit(e))
+    of_state = lambda c: [p.alias(n) for n, p in zip("lre", composer.parts(F.col(c)), strict=True)]
     weigh = weigh or (lambda i, m, o, a, b: ring.times(a, b))
     one = ring.lit(ring.one)
     own = right if left.shared and not right.shared else left
@@ -50,11 +68,11 @@ def compose(left: Automaton, right: Automaton, weigh: Weigh | None = None, max_s
 
     start = ends(left.initial, right.initial).select("auto_id", _state(F.col("l"), F.col("r"), NO_EPS).alias("state"), ring.times(F.col("wa"), F.col("wb")).alias("weight"))
     start = settled(start.filter(~ring.is_zero(F.col("weight"))))
-    front = start.select("auto_id", "state").distinct()
-    seen, made, steps = [settled(front)], [], Steps(max_steps, "a composition")
-    while not seen[-1].isEmpty():
+    front, fresh = counted(start.select("auto_id", "state").distinct())
+    seen, made, steps = Growing(front), None, Steps(max_steps, "a composition")
+    while fresh:
         steps.next()
-        f = seen[-1].select("auto_id", "state", F.col("state.l").alias("l"), F.col("state.r").alias("r"), F.col("state.e").alias("e")).alias("f")
+        f = front.select("auto_id", "state", *of_state("state")).alias("f")
         fa = f.join(a_arcs, same("a_id", left) & (F.col("f.l") == F.col("a_src")))
         on = (F.col("f.r") == F.col("b_src")) & same("b_id", right)
         both = fa.join(b_arcs, on & (F.col("a_out") == F.col("b_in")) & ((F.col("a_out") != eps) | (F.col("f.e") == NO_EPS)))
@@ -64,29 +82,24 @@ def compose(left: Automaton, right: Automaton, weigh: Weigh | None = None, max_s
         other = f.join(b_arcs, on & (F.col("b_in") == eps)).filter(F.col("f.e") != LEFT_EPS)
         other = other.select("f.auto_id", F.col("f.state").alias("src"), _state(F.col("f.l"), F.col("b_dst"), RIGHT_EPS).alias("dst"), eps.alias("ilabel"), F.col("b_out").alias("olabel"), weigh(eps, eps, F.col("b_out"), one, F.col("b_w")).alias("weight"))
         arcs = settled(together([pairs, alone, other]).select(*ARCS))
-        made.append(arcs)
+        made = Growing(arcs) if made is None else made
+        if made.parts[-1] is not arcs:
+            made.add(arcs)
         after = arcs.select("auto_id", F.col("dst").alias("state")).distinct()
-        seen.append(settled(after.join(together(seen), ["auto_id", "state"], "left_anti")))
-    states = together(seen).select("auto_id", "state", F.col("state.l").alias("l"), F.col("state.r").alias("r")).alias("f")
+        front, fresh = counted(after.join(seen.all(), ["auto_id", "state"], "left_anti"))
+        seen.add(front)
+    states = seen.all().select("auto_id", "state", *of_state("state")).alias("f")
     fa = left.final.select(F.col("auto_id").alias("a_id"), F.col("state").alias("a_state"), F.col("weight").alias("a_w"))
     fb = right.final.select(F.col("auto_id").alias("b_id"), F.col("state").alias("b_state"), F.col("weight").alias("b_w"))
     done = states.join(fa, same("a_id", left) & (F.col("f.l") == F.col("a_state"))).join(fb, same("b_id", right) & (F.col("f.r") == F.col("b_state")))
     final = done.select("f.auto_id", "f.state", ring.times(F.col("a_w"), F.col("b_w")).alias("weight"))
-    if not made:  # no initial states: no arcs either
+    if made is None:  # no initial states: no arcs either
         none = start.select("auto_id", F.col("state").alias("src"), F.col("state").alias("dst"))
         labels = [F.lit(None).cast(a.schema[c].dataType).alias(c) for a, c in ((left.arcs, "ilabel"), (right.arcs, "olabel"))]
-        made.append(none.select("*", *labels, one.alias("weight")))
-    arcs = together(made)
-    return replace(left, arcs=arcs, initial=start.select(*STATES), final=final.filter(~ring.is_zero(F.col("weight"))).select(*STATES), shared=left.shared and right.shared, reachable_only=True)
+        made = Growing(none.select("*", *labels, one.alias("weight")))
+    return replace(left, arcs=made.all(), initial=start.select(*STATES), final=final.filter(~ring.is_zero(F.col("weight"))).select(*STATES), shared=left.shared and right.shared, reachable_only=True)
 
 
 def intersect(left: Automaton, right: Automaton, max_steps: int = 10_000) -> Automaton:
     """Strings that both accept, weights multiplied."""
     return output_projection(compose(as_transducer(left), as_transducer(right), max_steps=max_steps))
-
-
-def dense_state(auto: Automaton, left_size: int) -> Automaton:
-    """A composition of dense automata with its states as numbers e + 3 * (l + left_size * r)."""
-    code = lambda c: (F.col(f"{c}.e") + 3 * (F.col(f"{c}.l") + left_size * F.col(f"{c}.r"))).cast("long").alias(c)
-    arcs = auto.arcs.select("auto_id", code("src"), code("dst"), "ilabel", "olabel", "weight")
-    return replace(auto, arcs=arcs, initial=auto.initial.select("auto_id", code("state"), "weight"), final=auto.final.select("auto_id", code("state"), "weight"))

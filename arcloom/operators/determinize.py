@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from arcloom.plans.iterate import Steps, settled, together
+from arcloom.plans.iterate import Growing, Steps, counted, settled
 from arcloom.sources.automaton import ARCS, STATES, Automaton
 
 DIGITS = 10
@@ -29,11 +29,11 @@ def determinize(auto: Automaton, max_steps: int = 10_000, max_states: int = 10_0
         return grouped.withColumn("name", F.transform("full", lambda x: x["s"]) if plain else F.transform("full", lambda x: F.struct(x["s"].alias("s"), ring.rounded(x["w"], DIGITS).alias("w"))))
 
     start = auto.initial.filter(~ring.is_zero(F.col("weight"))).select("auto_id", F.col("state").alias("dst"), F.col("weight").alias("rest"))
-    first = settled(named(start, ["auto_id"]).select("auto_id", "name", "full"))
-    seen, made, steps, total = [first], [], Steps(max_steps, "a determinization"), first.count()
-    while not seen[-1].isEmpty():
+    first, total = counted(named(start, ["auto_id"]).select("auto_id", "name", "full"))
+    front, fresh, seen, made, steps = first, total, Growing(first), None, Steps(max_steps, "a determinization")
+    while fresh:
         steps.next()
-        parts = seen[-1].select("auto_id", "name", F.explode("full").alias("x")).select("auto_id", "name", F.col("x.s").alias("s"), F.col("x.w").alias("v"))
+        parts = front.select("auto_id", "name", F.explode("full").alias("x")).select("auto_id", "name", F.col("x.s").alias("s"), F.col("x.w").alias("v"))
         moved = parts.join(arcs, ["auto_id", "s"]).withColumn("weight", ring.times(F.col("v"), F.col("weight")))
         keys = ["auto_id", "name", "ilabel", "olabel"]
         parts = settled(ring.sum(moved, [*keys, "dst"]))
@@ -41,15 +41,22 @@ def determinize(auto: Automaton, max_steps: int = 10_000, max_states: int = 10_0
         rest = parts.join(whole, keys).withColumn("rest", ring.divide(F.col("total"), F.col("weight")))
         out = named(rest.withColumnRenamed("name", "src"), ["auto_id", "src", "ilabel", "olabel", "total"])
         out = settled(out.withColumnRenamed("name", "to"))
-        made.append(out.select("auto_id", "src", F.col("to").alias("dst"), "ilabel", "olabel", F.col("total").alias("weight")))
-        fresh = out.select("auto_id", F.col("to").alias("name"), "full").dropDuplicates(["auto_id", "name"])
-        fresh = settled(fresh.join(together(seen).select("auto_id", "name"), ["auto_id", "name"], "left_anti"))
-        total += fresh.count()
+        arms = out.select("auto_id", "src", F.col("to").alias("dst"), "ilabel", "olabel", F.col("total").alias("weight"))
+        if made is None:
+            made = Growing(arms)
+        else:
+            made.add(arms)
+        after = out.select("auto_id", F.col("to").alias("name"), "full").dropDuplicates(["auto_id", "name"])
+        front, fresh = counted(after.join(seen.all().select("auto_id", "name"), ["auto_id", "name"], "left_anti"))
+        total += fresh
         if total > max_states:
             raise RuntimeError(f"determinization made more than {max_states} states")
-        seen.append(fresh)
-    parts = together(seen).select("auto_id", F.col("name"), F.explode("full").alias("x")).select("auto_id", "name", F.col("x.s").alias("state"), F.col("x.w").alias("v"))
+        seen.add(front)
+    if made is None:  # no initial states: no arcs either
+        labels = [F.lit(None).cast(auto.arcs.schema[c].dataType).alias(c) for c in ("ilabel", "olabel", "weight")]
+        made = Growing(first.select("auto_id", F.col("name").alias("src"), F.col("name").alias("dst"), *labels))
+    parts = seen.all().select("auto_id", F.col("name"), F.explode("full").alias("x")).select("auto_id", "name", F.col("x.s").alias("state"), F.col("x.w").alias("v"))
     final = parts.join(auto.final, ["auto_id", "state"])
     final = ring.sum(final.select("auto_id", F.col("name").alias("state"), ring.times(F.col("v"), F.col("weight")).alias("weight")), ["auto_id", "state"])
     initial = first.select("auto_id", F.col("name").alias("state"), ring.lit(ring.one).alias("weight"))
-    return replace(auto, arcs=together(made).select(*ARCS), initial=initial, final=final.filter(~ring.is_zero(F.col("weight"))).select(*STATES), reachable_only=True)
+    return replace(auto, arcs=made.all().select(*ARCS), initial=initial, final=final.filter(~ring.is_zero(F.col("weight"))).select(*STATES), reachable_only=True)

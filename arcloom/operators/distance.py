@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.plans.iterate import Steps, settled, together
+from arcloom.plans.iterate import Growing, Steps, counted, settled
 from arcloom.sources.automaton import Automaton
 
 from .collapse import neighbour_distances
 from .reach import is_cyclic
 
+#: Gives (auto_id, state, weight), the sums over all paths from initial states: single_source, by_all_pairs, or all_path_distances, which chooses.
+Distances = Callable[[Automaton], DataFrame]
+
 
 def single_source(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
     """(auto_id, state, weight): the sum over all paths from initial states, self-loops as closures; without other cycles.
@@ -25,16 +29,16 @@ def single_source(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
     star = settled(star)
     moved = links.filter("src <> dst").join(star.withColumnRenamed("state", "src"), ["auto_id", "src"], "left")
     links = settled(moved.select("auto_id", "src", "dst", F.when(F.col("star").isNull(), F.col("weight")).otherwise(ring.times(F.col("star"), F.col("weight"))).alias("weight")))
-    front = settled(ring.sum(auto.initial.filter(~ring.is_zero(F.col("weight"))), ["auto_id", "state"]))
-    arrived, steps = [front], Steps(max_steps, "a distance without cycles")
-    while not front.isEmpty():
+    front, size = counted(ring.sum(auto.initial.filter(~ring.is_zero(F.col("weight"))), ["auto_id", "state"]))
+    arrived, steps = Growing(front), Steps(max_steps, "a distance without cycles")
+    while size:
         steps.next()
         f, a = front.alias("f"), links.alias("a")
         after = f.join(a, (F.col("f.auto_id") == F.col("a.auto_id")) & (F.col("f.state") == F.col("a.src")))
         after = after.select(F.col("a.auto_id").alias("auto_id"), F.col("a.dst").alias("state"), ring.times(F.col("f.weight"), F.col("a.weight")).alias("weight"))
-        front = settled(ring.sum(after.filter(~ring.is_zero(F.col("weight"))), ["auto_id", "state"]))
-        arrived.append(front)
-    total = ring.sum(together(arrived), ["auto_id", "state"]).join(star, ["auto_id", "state"], "left")
+        front, size = counted(ring.sum(after.filter(~ring.is_zero(F.col("weight"))), ["auto_id", "state"]))
+        arrived.add(front)
+    total = ring.sum(arrived.all(), ["auto_id", "state"]).join(star, ["auto_id", "state"], "left")
     return total.select("auto_id", "state", F.when(F.col("star").isNull(), F.col("weight")).otherwise(ring.times(F.col("weight"), F.col("star"))).alias("weight"))
 
 
@@ -54,43 +58,46 @@ def all_pairs(auto: Automaton, states: DataFrame | None = None, max_rounds: int
         both = both.select(F.col("a.auto_id").alias("auto_id"), F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), ring.times(F.col("a.weight"), F.col("b.weight")).alias("weight"))
         return both.filter(~ring.is_zero(F.col("weight")))
 
-    power = settled(ring.sum(auto.arcs.filter(~ring.is_zero(F.col("weight"))), keys))
+    power, open_ = counted(ring.sum(auto.arcs.filter(~ring.is_zero(F.col("weight"))), keys))
     total = settled(ring.sum(unit.unionByName(power), keys))
     steps = Steps(max_rounds, "an all-pairs distance")
-    while not power.isEmpty():
+    while open_:
         steps.next()
-        power = settled(ring.sum(product(power, power), keys))
-        more = settled(ring.sum(total.unionByName(product(power, total)), keys))
-        x, y = total.withColumnRenamed("weight", "old"), more
-        changed = y.join(x, keys, "left").filter(F.col("old").isNull() | ~ring.close(F.col("old"), F.col("weight")))
-        stable = changed.isEmpty()
-        total = more
-        if stable:
+        power, open_ = counted(ring.sum(product(power, power), keys))
+        more = ring.sum(total.unionByName(product(power, total)), keys).join(total.withColumnRenamed("weight", "old"), keys, "left")
+        more, changed = counted(more, F.col("old").isNull() | ~ring.close(F.col("old"), F.col("weight")))
+        total = more.select(*keys, "weight")
+        if not changed:
             break
     return total
 
 
+def by_all_pairs(auto: Automaton) -> DataFrame:
+    """(auto_id, state, weight) from the initial states, by the distances of all pairs; cycles or not."""
+    ring = auto.ring
+    pairs, start = all_pairs(auto).alias("p"), auto.initial.alias("i")
+    both = start.join(pairs, (F.col("i.auto_id") == F.col("p.auto_id")) & (F.col("i.state") == F.col("p.src")))
+    both = both.select(F.col("p.auto_id").alias("auto_id"), F.col("p.dst").alias("state"), ring.times(F.col("i.weight"), F.col("p.weight")).alias("weight"))
+    return ring.sum(both.filter(~ring.is_zero(F.col("weight"))), ["auto_id", "state"])
+
+
 def all_path_distances(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
     """(auto_id, state, weight) from the initial states: by supersteps for automata without cycles, by all pairs for the others."""
-    cyclic = settled(is_cyclic(auto, max_steps).filter("cyclic").select("auto_id"))
-    if cyclic.isEmpty():
+    cyclic, n_cyclic = counted(is_cyclic(auto, max_steps).filter("cyclic").select("auto_id"))
+    if not n_cyclic:
         return single_source(auto, max_steps)
-    ring = auto.ring
     part = lambda how: replace(auto, arcs=auto.arcs.join(cyclic, "auto_id", how), initial=auto.initial.join(cyclic, "auto_id", how), final=auto.final.join(cyclic, "auto_id", how))
     round_, straight = part("left_semi"), part("left_anti")
-    pairs, start = all_pairs(round_).alias("p"), round_.initial.alias("i")
-    both = start.join(pairs, (F.col("i.auto_id") == F.col("p.auto_id")) & (F.col("i.state") == F.col("p.src")))
-    both = both.select(F.col("p.auto_id").alias("auto_id"), F.col("p.dst").alias("state"), ring.times(F.col("i.weight"), F.col("p.weight")).alias("weight"))
-    found = ring.sum(both.filter(~ring.is_zero(F.col("weight"))), ["auto_id", "state"])
+    found = by_all_pairs(round_)
     if straight.initial.isEmpty():
         return found
     return found.unionByName(single_source(straight, max_steps))
 
 
-def cost(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
+def cost(auto: Automaton, distances: Distances = all_path_distances) -> DataFrame:
     """(auto_id, weight): the sum over all accepting paths of each automaton; zero where there is none."""
     ring = auto.ring
-    reached = all_path_distances(auto, max_steps).alias("d")
+    reached = distances(auto).alias("d")
     final = auto.final.alias("f")
     both = reached.join(final, (F.col("d.auto_id") == F.col("f.auto_id")) & (F.col("d.state") == F.col("f.state")))
     both = both.select(F.col("d.auto_id").alias("auto_id"), ring.times(F.col("d.weight"), F.col("f.weight")).alias("weight"))

@@ -17,7 +17,7 @@ def remove_epsilons(auto: Automaton) -> Automaton:
 
     The closure over epsilon arcs (all pairs of the states they touch; every other state reaches itself only) is multiplied
     into arcs and final weights; initial weights stay. Only states with epsilon arcs take part in the all-pairs step."""
-    ring, eps = auto.ring, F.lit(auto.epsilon)
+    ring, eps = auto.ring, auto.eps
     empty = (F.col("ilabel") == eps) & (F.col("olabel") == eps)
     quiet = replace(auto, arcs=settled(auto.arcs.filter(empty)))
     touched = quiet.arcs.select("auto_id", F.col("src").alias("state")).unionByName(quiet.arcs.select("auto_id", F.col("dst").alias("state"))).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcloom.plans.iterate import Steps, settled, together
+from arcloom.plans.iterate import Steps, counted, settled
 from arcloom.sources.automaton import Automaton
 
 from .distance import all_path_distances
@@ -33,7 +33,7 @@ def k_best(auto: Automaton, k: int, max_len: int | None = None, heuristic=a_star
     others large. A superstep extends every open path by an arc and keeps the k best that reach a state in that step: of
     those, no other can be among the k best in the end, where weights fall along a path. With a heuristic, paths that cannot beat the
     k-th accepted one any more are dropped."""
-    ring, eps = auto.ring, F.lit(auto.epsilon)
+    ring, eps = auto.ring, auto.eps
     given, max_len = max_len is not None, LIMIT if max_len is None else max_len
     order: Column = F.col("weight").desc() if ring.descending else F.col("weight").asc()
     arcs = settled(auto.arcs.filter(~ring.is_zero(F.col("weight"))).select("auto_id", F.col("src").alias("state"), "dst", "olabel", F.col("weight").alias("w")))
@@ -41,12 +41,12 @@ def k_best(auto: Automaton, k: int, max_len: int | None = None, heuristic=a_star
     hints = heuristic(auto)
     hints = None if hints is None else settled(hints.select("auto_id", "state", F.col("weight").alias("hint")))
     label = auto.arcs.schema["olabel"].dataType.simpleString()
-    front = settled(auto.initial.filter(~ring.is_zero(F.col("weight"))).select("auto_id", "state", F.array().cast(f"array<{label}>").alias("labels"), "weight"))
+    front, size = counted(auto.initial.filter(~ring.is_zero(F.col("weight"))).select("auto_id", "state", F.array().cast(f"array<{label}>").alias("labels"), "weight"))
     best = Window.partitionBy("auto_id").orderBy(order, "labels")
     here = Window.partitionBy("auto_id", "state").orderBy(order, "labels")
     done: DataFrame | None = None
     steps = Steps(max_len + 1, "k-best")
-    while not front.isEmpty() and steps.done <= max_len:
+    while size and steps.done <= max_len:
         steps.next()
         ended = front.join(final, ["auto_id", "state"]).select("auto_id", "labels", ring.times(F.col("weight"), F.col("end")).alias("weight"))
         done = ended if done is None else done.unionByName(ended)
@@ -63,9 +63,9 @@ def k_best(auto: Automaton, k: int, max_len: int | None = None, heuristic=a_star
             slack = 1e-9 * F.greatest(F.lit(1.0), F.abs("worst"))
             open_ = (F.col("hope") >= F.col("worst") - slack) if ring.descending else (F.col("hope") <= F.col("worst") + slack)
             after = after.filter(F.col("n").isNull() | (F.col("n") < k) | open_).select("auto_id", "state", "labels", "weight")
-        front = settled(after.withColumn("rank", F.row_number().over(here)).filter(F.col("rank") <= k).drop("rank"))
-    if not given and not front.isEmpty():
+        front, size = counted(after.withColumn("rank", F.row_number().over(here)).filter(F.col("rank") <= k).drop("rank"))
+    if not given and size:
         raise RuntimeError(f"k-best: paths are still open after {max_len} arcs")
     if done is None:
         done = front.select("auto_id", "labels", "weight")
-    return done.withColumn("rank", F.row_number().over(best)).select("auto_id", "rank", "labels", F.array_join("labels", "").alias("text"), "weight")
+    return done.withColumn("rank", F.row_number().over(best)).select("auto_id", "rank", "labels", F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("text"), "weight")

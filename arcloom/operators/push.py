@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from arcloom.plans.iterate import settled
 from arcloom.sources.automaton import ARCS, STATES, Automaton
 
-from .distance import all_path_distances
+from .distance import Distances, all_path_distances
 from .project import reverse
 
 
-def push_weights(auto: Automaton) -> Automaton:
+def push_weights(auto: Automaton, distances: Distances = all_path_distances) -> Automaton:
     """Weights moved towards the start: what leaves a state, arcs and final weight together, sums to one. States that reach no
     final state go. The ring must be commutative and divisible."""
     ring = auto.ring
-    rest = settled(all_path_distances(reverse(auto)).filter(~ring.is_zero(F.col("weight"))))
+    rest = settled(distances(reverse(auto)).filter(~ring.is_zero(F.col("weight"))))
     at = lambda name: rest.select("auto_id", F.col("state").alias(name), F.col("weight").alias(f"{name}_rest"))
     arcs = auto.arcs.join(at("src"), ["auto_id", "src"]).join(at("dst"), ["auto_id", "dst"])
     arcs = arcs.withColumn("weight", ring.divide(F.col("src_rest"), ring.times(F.col("weight"), F.col("dst_rest"))))

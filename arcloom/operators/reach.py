@@ -7,22 +7,22 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.plans.iterate import Steps, settled, together
+from arcloom.plans.iterate import Growing, Steps, counted, settled
 from arcloom.sources.automaton import ARCS, STATES, Automaton
 
 
 def accessible_states(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
     """(auto_id, state), each state once: breadth first from the initial states, all automata of the batch at once."""
     links = settled(auto.arcs.select("auto_id", "src", "dst").filter("src <> dst").distinct())
-    front = settled(auto.initial.select("auto_id", "state").distinct())
-    seen, steps = [front], Steps(max_steps, "reachability")
-    while not front.isEmpty():
+    front, fresh = counted(auto.initial.select("auto_id", "state").distinct())
+    seen, steps = Growing(front), Steps(max_steps, "reachability")
+    while fresh:
         steps.next()
         after = front.alias("f").join(links.alias("a"), (F.col("f.auto_id") == F.col("a.auto_id")) & (F.col("f.state") == F.col("a.src")))
         after = after.select(F.col("a.auto_id").alias("auto_id"), F.col("a.dst").alias("state")).distinct()
-        front = settled(after.join(together(seen), ["auto_id", "state"], "left_anti"))
-        seen.append(front)
-    return together(seen)
+        front, fresh = counted(after.join(seen.all(), ["auto_id", "state"], "left_anti"))
+        seen.add(front)
+    return seen.all()
 
 
 def accessible_arcs(auto: Automaton) -> DataFrame:
@@ -51,16 +51,16 @@ def trim(auto: Automaton) -> Automaton:
 
 
 def is_cyclic(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
-    """(auto_id, cyclic): whether accessible arcs other than self-loops form a cycle. Peels states without incoming arcs until none goes."""
+    """(auto_id, cyclic): whether accessible arcs other than self-loops form a cycle. Peels arcs that no arc leads to, or from, until none goes."""
     states = settled(accessible_states(auto, max_steps))
     arcs = auto.arcs.join(states.withColumnRenamed("state", "src"), ["auto_id", "src"], "left_semi")
-    arcs = settled(arcs.filter("src <> dst").select("auto_id", "src", "dst").distinct())
-    size, steps = arcs.count(), Steps(max_steps, "the cycle test")
+    arcs, size = counted(arcs.filter("src <> dst").select("auto_id", "src", "dst").distinct())
+    steps = Steps(max_steps, "the cycle test")
     while size:
         steps.next()
         entered = arcs.select("auto_id", F.col("dst").alias("src")).distinct()
-        arcs = settled(arcs.join(entered, ["auto_id", "src"], "left_semi"))
-        left = arcs.count()
+        gone_on = arcs.select("auto_id", F.col("src").alias("dst")).distinct()
+        arcs, left = counted(arcs.join(entered, ["auto_id", "src"], "left_semi").join(gone_on, ["auto_id", "dst"], "left_semi"))
         if left == size:
             break
         size = left

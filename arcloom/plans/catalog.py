@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from arcloom.functions.semiring import BOOLEAN, LOG, PROBABILITY, RINGS, TROPICAL
 from arcloom.operators import select as sel
 from arcloom.operators.collapse import neighbour_distances
-from arcloom.operators.compose import compose, dense_state
+from arcloom.operators.compose import compose, dense_composer
 from arcloom.operators.counts import chain_counts, expected_counts
-from arcloom.operators.distance import all_pairs, all_path_distances
+from arcloom.operators.distance import all_pairs, all_path_distances, by_all_pairs
 from arcloom.operators.kbest import k_best, uniform
 from arcloom.operators.minimize import approximate
 from arcloom.operators.output import dot_lines, equal
@@ -114,6 +114,49 @@ matched("match_input", "src = 'n3' AND ilabel = 'BUILDING'", lambda: sel.input_l
 matched("match_output", "src = 'c7' AND olabel = 'BUILDING'", lambda: sel.output_label("c7", "BUILDING"))
 
 
+EDITS = """WITH c(x) AS (VALUES ('a'), ('b'), ('c'), ('')), k AS (SELECT -ln(2 * exp(-3.0::DOUBLE) + 1 + 4 * exp(-4.0::DOUBLE)) AS m)
+SELECT a.x AS ilabel, b.x AS olabel, round(CASE WHEN a.x = '' OR b.x = '' THEN m - 4 WHEN a.x = b.x THEN m ELSE m - 3 END, 6) + 0.0::DOUBLE AS weight FROM c a, c b, k WHERE (a.x <> '' OR b.x <> '') AND """
+
+
+def matched_edits(name: str, where: str, match: Callable[[], Column]) -> None:
+    @query(name, EDITS + where)
+    def run(spark, sf):
+        auto = make.edit_distance(spark, -3.0, -4.0, "abc")
+        return sel.edges_matching(auto, match()).select("ilabel", "olabel", rounded())
+
+
+matched_edits("match_edit_sigma", "true", lambda: sel.sigma(0))
+matched_edits("match_edit_input", "a.x = 'a'", lambda: sel.input_label(0, "a"))
+matched_edits("match_edit_output", "b.x = ''", lambda: sel.output_label(0, ""))
+matched_edits("match_edit_pair", "a.x = 'b' AND b.x = 'c'", lambda: sel.pair(0, "b", "c"))
+
+
+@query("match_decay", "SELECT 'c' AS ilabel, round(ln(4.0::DOUBLE / 5) - ln(3.0::DOUBLE), 6) + 0.0::DOUBLE AS weight")
+def match_decay(spark, sf):
+    return sel.edges_matching(make.decay(spark, 4.0, "bcd"), sel.label(0, "c")).select("ilabel", rounded())
+
+
+def without_building(spark: SparkSession, sf: str) -> Automaton:
+    auto = derived.layers(spark, sf)
+    return auto.with_arcs(auto.arcs.withColumn("weight", F.when(F.col("ilabel") == "BUILDING", 0.0).otherwise(F.col("weight"))))
+
+
+@query("nonzero_arcs", f"WITH {LY} SELECT src, dst, ilabel, olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly WHERE ilabel <> 'BUILDING'")
+def nonzero_arcs(spark, sf):
+    return arcs_of(sel.nonzero(without_building(spark, sf)))
+
+
+@query("transformed", f"WITH {LY} SELECT src, dst, olabel AS ilabel, ilabel AS olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly WHERE ilabel <> 'BUILDING'")
+def transformed(spark, sf):
+    return arcs_of(without_building(spark, sf).transform(sel.nonzero).transform(Automaton.swap_labels))
+
+
+@query("integer_arcs", "SELECT CAST(s AS BIGINT) AS src, CAST(d AS BIGINT) AS dst, CAST(l AS INTEGER) AS label, w::DOUBLE AS weight FROM (VALUES (0, 1, 7, 2.0), (0, 2, 8, 3.0), (1, 2, 9, 4.0)) v(s, d, l, w)")
+def integer_arcs(spark, sf):
+    auto = make.int_automaton(spark, TROPICAL, [[(1, 7, 2.0), (2, 8, 3.0)], [(2, 9, 4.0)], []], [0.0], [float("inf"), float("inf"), 0.0])
+    return auto.edges().select("src", "dst", F.col("ilabel").alias("label"), "weight")
+
+
 @query("edges_from", f"WITH {LY} SELECT src, dst, ilabel, olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ly WHERE src = 'r1'")
 def edges_from(spark, sf):
     return derived.layers(spark, sf).arcs_from("r1").select("src", "dst", "ilabel", "olabel", rounded())
@@ -237,6 +280,13 @@ def cost_bool(spark, sf):
     return derived.layers(spark, sf, BOOLEAN).cost()
 
 
+@query("cost_by_all_pairs", f"WITH {CV} SELECT auto_id, count(*)::DOUBLE AS weight FROM cv GROUP BY auto_id")
+def cost_by_all_pairs(spark, sf):
+    """The tropical cost of chains whose arcs weigh one: their length, by the all-pairs strategy."""
+    auto = make.chains(derived.conversation_steps(spark, sf), TROPICAL)
+    return auto.with_arcs(auto.arcs.withColumn("weight", F.lit(1.0))).cost(distances=by_all_pairs).select("auto_id", "weight")
+
+
 @query("cost_markov", "SELECT 'bg' AS auto_id, 1.0::DOUBLE AS weight")
 def cost_markov(spark, sf):
     return derived.markov(spark, sf).cost().select("auto_id", rounded())
@@ -289,7 +339,7 @@ def compose_epsilon(spark, sf):
 @query("compose_dense", f"SELECT CAST(c + 3 * (a + 5 * b) AS BIGINT) AS src, CAST(f + 3 * (d + 5 * e) AS BIGINT) AS dst, g AS ilabel, h AS olabel FROM (VALUES {SEVEN}) v(a, b, c, d, e, f, g, h)")
 def compose_dense(spark, sf):
     a, b = seven(spark)
-    return dense_state(a >> b, 5).arcs.select("src", "dst", "ilabel", "olabel")
+    return compose(a, b, composer=dense_composer(5)).arcs.select("src", "dst", "ilabel", "olabel")
 
 
 @query("compose_weigh", "SELECT CAST(1 AS BIGINT) AS n, 2.5::DOUBLE AS weight")

@@ -1,34 +1,59 @@
-"""What loops on the driver share: checkpoints, emptiness tests and a step limit."""
+"""What loops on the driver share: tables written once, growing tables and a step limit."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of our own is set only where none is (tests)."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="arcloom-"))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of our own is set only where none is (tests)."""
+    root, holder = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not root and holder.isDefined():
+        root = holder.get()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="arcloom-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and its lineage cut, in storage that outlives executors.
+def counted(df: DataFrame, test: Column | None = None) -> tuple[DataFrame, int]:
+    """df written to storage that outlives executors and read back, its lineage cut, and how many of its rows there are
+    (for which test holds): all in one job."""
+    seen, path = Observation(), f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.observe(seen, F.count("*" if test is None else F.when(test, 1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
 
-    Columns get names of their own again: a join of a checkpoint with itself must not have to rename the checkpoint's."""
-    ensure_checkpoint_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    return done.select(*[F.col(f"`{c}`").alias(c) for c in done.columns])
+def settled(df: DataFrame) -> DataFrame:
+    return counted(df)[0]
 
 
 def together(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+class Growing:
+    """A table that a loop adds to; its plan stays small, since the parts are written into one when there are many."""
+
+    MOST = 8
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, part: DataFrame) -> None:
+        if len(self.parts) == self.MOST:
+            self.parts = [settled(together(self.parts))]
+        self.parts.append(part)
+
+    def all(self) -> DataFrame:
+        return together(self.parts)
+
+
 class Steps:
     """Counts supersteps and raises when there are more than the limit, rather than give part of a result."""
 

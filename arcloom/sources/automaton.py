@@ -16,6 +16,24 @@ STATES = ("auto_id", "state", "weight")
 EPSILON, INT_EPSILON = "", -(1 << 31)
 
 
+@dataclass(frozen=True)
+class Alphabet:
+    """A type of labels and its empty one. Labels of a product are structs (left, right), its empty label the pair of both."""
+
+    epsilon: object
+
+    def lit(self) -> Column:
+        if isinstance(self.epsilon, tuple):
+            return F.struct(*[Alphabet(e).lit().alias(n) for n, e in zip(("left", "right"), self.epsilon, strict=True)])
+        return F.lit(self.epsilon)
+
+    def __mul__(self, other: Alphabet) -> Alphabet:
+        return Alphabet((self.epsilon, other.epsilon))
+
+
+TEXT, INTEGERS = Alphabet(EPSILON), Alphabet(INT_EPSILON)
+
+
 @dataclass(frozen=True)
 class Automaton:
     """A batch of weighted automata or transducers over one semiring.
@@ -40,6 +58,15 @@ class Automaton:
             if missing:
                 raise ValueError(f"columns {missing} are missing; found {frame.columns}")
 
+    @property
+    def alphabet(self) -> Alphabet:
+        return Alphabet(self.epsilon)
+
+    @property
+    def eps(self) -> Column:
+        """The empty label."""
+        return self.alphabet.lit()
+
     @property
     def spark(self) -> SparkSession:
         return self.arcs.sparkSession
@@ -123,15 +150,15 @@ class Automaton:
 
         return is_cyclic(self)
 
-    def cost(self) -> DataFrame:
+    def cost(self, **options) -> DataFrame:
         from arcloom.operators.distance import cost
 
-        return cost(self)
+        return cost(self, **options)
 
-    def push_weights(self) -> Automaton:
+    def push_weights(self, **options) -> Automaton:
         from arcloom.operators.push import push_weights
 
-        return push_weights(self)
+        return push_weights(self, **options)
 
     def remove_epsilons(self) -> Automaton:
         from arcloom.operators.epsilon import remove_epsilons
