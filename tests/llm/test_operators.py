@@ -317,12 +317,12 @@ def small_known(texts, n_ids=12, top=6):
 
 def chunk(texts, known, count):
     """A chunk of texts of ids that begin with a word, a word for each of theirs."""
-    from arcloom.llm.scoring import Chunk, nodes
+    from arcloom.llm.scoring import Chunk, node_keys
 
     own = np.concatenate([np.append(t, known.end_id) for t in texts])
-    keys = np.unique(np.concatenate(nodes(own, known.begins)))
+    keys, _ = node_keys(own, known.begins)
     n_words = np.array([int(known.begins[t].sum()) + 1 for t in texts])
-    return Chunk(own, np.arange(n_words.sum()), n_words, np.zeros(len(texts), bool), keys, np.array([count[k] for k in keys.tolist()]), known)
+    return Chunk(own, np.arange(n_words.sum()), n_words, np.zeros(len(texts), bool), np.array([count[k] for k in keys.tolist()]), known)
 
 
 def wordy(rng, n):
