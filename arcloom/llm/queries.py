@@ -82,6 +82,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +112,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_scoring": op8_scoring,
         "op9_neighbours": op9_neighbours,
         "op10_quality": op10_quality,
+        "op11_centroids": op11_centroids,
+        "op12_divergence": op12_divergence,
         "pipeline": pipeline,
     }
 
@@ -133,5 +147,40 @@ CASE WHEN page_id = max(page_id) OVER (PARTITION BY hex) THEN 'response' ELSE 'r
 CASE WHEN page_id <> max(page_id) OVER (PARTITION BY hex) THEN max(page_id) OVER (PARTITION BY hex) END AS refers_to FROM o"""
 
 
+
+def _centroids(rounds: int = 3) -> str:
+    """Lloyd's rounds in SQL, over all kept vectors one by one: c0, c1, ... are the centroids, a0, a1, ... the assignments."""
+    parts = [
+        """v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, q) - 1 AS INTEGER) AS cluster, q AS c FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, q FROM v ORDER BY h, q LIMIT 16))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT r, vec_id, q, first(cluster ORDER BY d, cluster) AS cluster, min(d) AS distance FROM
+(SELECT r, vec_id, q, cluster, CAST(list_sum(list_transform(range(1, 65), lambda k: (q[k] - c[k]) * (q[k] - c[k]))) AS BIGINT) AS d FROM v, c{i}) GROUP BY r, vec_id, q)""")
+        if i < rounds:
+            parts.append(f"""m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY k) AS c FROM (SELECT cluster, k, sum(q[k]) AS s, count(*) AS n FROM a{i}, range(1, 65) g(k) GROUP BY cluster, k) GROUP BY cluster),
+c{i + 1} AS (SELECT c{i}.cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON c{i}.cluster = m{i}.cluster)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a{rounds}.cluster, distance, CAST(sum(distance) OVER (PARTITION BY a{rounds}.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.cluster = c{rounds}.cluster"""
+
+
+#: Shares of every kept term in every group and language, dense.
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + CAST(1000000000 * (n + 5)::HUGEINT // CAST(sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source) AS HUGEINT) AS BIGINT) AS p FROM c),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + CAST(1000000000 * (n + 5)::HUGEINT // CAST(sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang) AS HUGEINT) AS BIGINT) AS q FROM l),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS v FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pa AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(v, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source),
+te AS (SELECT p.lang, source, 'term' AS part, p.term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q),
+un AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pa UNION ALL SELECT * FROM te))
+SELECT lang, source, part, item, value, rank FROM un WHERE part = 'pair' OR rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": WARC, "op10_quality": QUALITY}
+    return {"op6_warc": WARC, "op10_quality": QUALITY, "op11_centroids": _centroids(), "op12_divergence": DIVERGENCE}
