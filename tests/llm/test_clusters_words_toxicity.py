@@ -175,7 +175,7 @@ def test_label_model_against_plain_sums(spark):
     odds = [math.log(model.share / (1 - model.share)) + sum(model.voice[v] * math.log(model.rates[1][v] / model.rates[0][v]) for v in range(n) if x[v]) for x in votes]
     assert np.allclose(model.posterior(votes), [1 / (1 + math.exp(-o)) for o in odds])
     twice = np.column_stack([votes[:, 0], votes[:, 0]])
-    doubled = spark.createDataFrame([([0, 1] if a else [], int(a)) for a, _ in twice], "signs array<int>, label int")
+    doubled = spark.createDataFrame([([0, 1] if a else [], i % 2) for i, (a, _) in enumerate(twice)], "signs array<int>, label int")
     assert tox.fit_label_model(doubled, 3, rounds=0).voice[:2] == pytest.approx([0.5, 0.5], abs=0.05)
 
 
