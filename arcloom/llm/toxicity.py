@@ -38,6 +38,11 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def drawn(most: int, n: int) -> Column:
+    """Whether a text belongs to a sample of about most of n texts, by its hash."""
+    return F.pmod(F.xxhash64(F.lit(13), "hash"), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30))
+
+
 def sign_counts(labelled: DataFrame) -> DataFrame:
     """(sign, toxic, clean): in how many texts of (text, label) each sign stands; each task counts what it reads."""
 
@@ -223,8 +228,9 @@ def fit_linear(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, n: int
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_signs: int = 2000, n_voters: int = 256, least_gain: float = 30.0, rounds: int = 3, fit_rows: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """The id, held_out, score, predicted and signs (those found) of every row of docs.
 
-    1. Signs: words and word beginnings are counted in all labelled rows that may be learnt from (see held_out), copies of a text once;
-       the n_signs that tell most are kept. Each of the first n_voters votes toxic where it stands, lexicon or pattern.
+    1. Signs: words and word beginnings are counted in about fit_rows labelled texts that may be learnt from (see held_out), drawn by
+       hash, copies of a text once; the n_signs that tell most are kept. Each of the first n_voters votes toxic where it stands,
+       lexicon or pattern.
     2. Every whole text is searched for the signs once.
     3. A generative model gets each voter's rates under either label and the correlations between voters from the labelled texts,
        and is refined by expectation and maximisation over all texts that may be learnt from, labelled or not.
@@ -242,17 +248,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     one = own.filter(~F.col("held_out")).select("id", "hash").join(known, "id").groupBy("hash").agg(F.min("id").alias("id"), F.max("label").alias("label"))
     one = scratch.written(one, "labelled")
-    signs = mined(own.filter(~F.col("held_out")).select("id", "hash", "text").join(one, ["id", "hash"]).select("text", "label"), n_signs, least_gain)
+    few = scratch.written(one.filter(drawn(fit_rows, one.count())), "drawn")
+    signs = mined(own.filter(~F.col("held_out")).select("id", "hash", "text").join(F.broadcast(few), ["id", "hash"]).select("text", "label"), n_signs, least_gain)  # about fit_rows ids
     found = written(with_signs(own, signs), "signs")
     if signs:
         n = min(n_voters, len(signs)) + 1
         texts = found.filter(~F.col("held_out")).groupBy("hash").agg(F.first("signs").alias("signs")).join(one.select("hash", "label"), "hash", "left")
         texts = scratch.written(texts, "texts")
         model = fit_label_model(texts, n, rounds)
-        part = min(1.0, fit_rows / max(1, texts.count()))
-        drawn = texts.filter(F.pmod(F.xxhash64(F.lit(13), "hash"), F.lit(1 << 30)) < int(part * (1 << 30))).select("hash", "signs", "label").toPandas().sort_values("hash")
-        lists = pa.array([list(x) for x in drawn["signs"]], pa.list_(pa.int32()))
-        label = drawn["label"].to_numpy(dtype=np.float64)
+        fitted = texts.filter(drawn(fit_rows, texts.count())).select("hash", "signs", "label").toPandas().sort_values("hash")
+        lists = pa.array([list(x) for x in fitted["signs"]], pa.list_(pa.int32()))
+        label = fitted["label"].to_numpy(dtype=np.float64)
         target = np.concatenate([model.posterior(votes_of(lists.slice(a, 1024), n)) for a in range(0, len(lists), 1024)] or [np.zeros(0)])
         target = np.where(np.isnan(label), target, label)
         size = np.diff(lists.offsets.to_numpy())
