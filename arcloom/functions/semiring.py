@@ -7,6 +7,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +71,32 @@ class Semiring:
     def total_(self, values):
         return reduce(self.plus_, values, self.zero)
 
+    #: Plus on numpy arrays, and times of arrays none of whose elements is zero.
+    plus_array = staticmethod(np.add)
+    times_array = staticmethod(np.add)
+
+    def outer_(self, column: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """All products of a column's and a row's elements; zero wins, over infinities as well."""
+        full = np.full((len(column), len(row)), self.zero, dtype=np.bool_ if self.type == "boolean" else np.float64)
+        i, j = np.flatnonzero(column != self.zero), np.flatnonzero(row != self.zero)
+        full[np.ix_(i, j)] = self.times_array(column[i][:, None], row[j][None, :])
+        return full
+
+    def closed_(self, a: np.ndarray) -> np.ndarray:
+        """The sum of all powers of a square matrix: states are eliminated one by one, each with the closure of its own loop."""
+        a = a.copy()
+        for p in range(len(a)):
+            loop = np.array([self.closure_(a[p, p].item())], dtype=a.dtype)
+            way = self.outer_(a[:, p], loop)[:, 0]
+            a = self.plus_array(a, self.outer_(way, a[p]))
+        own = np.arange(len(a))
+        a[own, own] = self.plus_array(a[own, own], np.array(self.one, dtype=a.dtype))
+        return a
+
 
 class Boolean(Semiring):
     name, type, zero, one, idempotent = "boolean", "boolean", False, True, True
+    plus_array, times_array = staticmethod(np.logical_or), staticmethod(np.logical_and)
 
     def times(self, a, b):
         return a & b
@@ -107,6 +131,7 @@ class Boolean(Semiring):
 
 class Probability(Semiring):
     name = "probability"
+    times_array = staticmethod(np.multiply)
 
     def times(self, a, b):
         return a * b
@@ -136,6 +161,7 @@ class Log(Semiring):
 
     name, zero, one = "log", -math.inf, 0.0
     BAND = 512
+    plus_array = staticmethod(np.logaddexp)
 
     def times(self, a, b):
         return F.when((a == -math.inf) | (b == -math.inf), F.lit(-math.inf)).otherwise(a + b)
@@ -179,6 +205,7 @@ class Log(Semiring):
 
 class Tropical(Semiring):
     name, zero, one, descending, idempotent = "tropical", math.inf, 0.0, False, True
+    plus_array = staticmethod(np.minimum)
 
     def times(self, a, b):
         return a + b

@@ -3,54 +3,127 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.plans.iterate import Growing, Steps, counted, settled
+from arcloom.functions.semiring import Semiring
+from arcloom.plans.iterate import PATIENCE, Growing, Replaced, Steps, counted, settled
 from arcloom.sources.automaton import Automaton
 
 from .collapse import neighbour_distances
-from .reach import is_cyclic
+from .components import closures, components
+from .contract import contracted
 
-#: Gives (auto_id, state, weight), the sums over all paths from initial states: single_source, by_all_pairs, or all_path_distances, which chooses.
+#: Gives (auto_id, state, weight), the sums over all paths from initial states: single_source, by_all_pairs, by_residuals, or
+#: all_path_distances, which chooses.
 Distances = Callable[[Automaton], DataFrame]
+KEYS = ["auto_id", "state"]
 
 
-def single_source(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
-    """(auto_id, state, weight): the sum over all paths from initial states, self-loops as closures; without other cycles.
+def _folded(ring: Semiring, links: DataFrame, closed: DataFrame) -> DataFrame:
+    """links with the sums closed (auto_id, src, dst, weight) before them, where their source has any."""
+    before = closed.select("auto_id", F.col("src").alias("from"), F.col("dst").alias("src"), F.col("weight").alias("way"))
+    both = links.join(before, ["auto_id", "src"], "left")
+    weight = F.when(F.col("way").isNull(), F.col("weight")).otherwise(ring.times(F.col("way"), F.col("weight")))
+    return ring.sum(both.select("auto_id", F.coalesce("from", "src").alias("src"), "dst", weight.alias("weight")), ["auto_id", "src", "dst"])
 
-    Every superstep moves what arrived at a state in the last one along all arcs; the sum of all arrivals is taken once,
-    at the end. The number of steps is the longest path's, whatever the number of automata."""
-    ring = auto.ring
-    links = neighbour_distances(auto)
-    star = links.filter("src = dst").select("auto_id", F.col("src").alias("state"), ring.closure(F.col("weight")).alias("star"))
-    star = settled(star)
-    moved = links.filter("src <> dst").join(star.withColumnRenamed("state", "src"), ["auto_id", "src"], "left")
-    links = settled(moved.select("auto_id", "src", "dst", F.when(F.col("star").isNull(), F.col("weight")).otherwise(ring.times(F.col("star"), F.col("weight"))).alias("weight")))
-    front, size = counted(ring.sum(auto.initial.filter(~ring.is_zero(F.col("weight"))), ["auto_id", "state"]))
-    arrived, steps = Growing(front), Steps(max_steps, "a distance without cycles")
+
+def _carried(ring: Semiring, reached: DataFrame, closed: DataFrame) -> DataFrame:
+    """reached (auto_id, state, weight), moved on by the sums in closed where its states have any."""
+    after = closed.select("auto_id", F.col("src").alias("state"), F.col("dst").alias("to"), F.col("weight").alias("way"))
+    both = reached.join(after, KEYS, "left")
+    weight = F.when(F.col("way").isNull(), F.col("weight")).otherwise(ring.times(F.col("weight"), F.col("way")))
+    return ring.sum(both.select("auto_id", F.coalesce("to", "state").alias("state"), weight.alias("weight")), KEYS)
+
+
+def _loops(ring: Semiring, links: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """links without loops, each with its source's loop closed before it; the closed loops; how many."""
+    star, n = counted(links.filter("src = dst").select("auto_id", "src", "dst", ring.closure(F.col("weight")).alias("weight")))
+    rest = links.filter("src <> dst")
+    return (settled(_folded(ring, rest, star)) if n else rest), star, n
+
+
+def _sweep(ring: Semiring, links: DataFrame, start: DataFrame, limit: int, what: str | None = None) -> DataFrame | None:
+    """(auto_id, state, weight): the sums of all that arrives, if nothing moves any more after limit steps; else None, or an error
+    that names what took them."""
+    front, size = counted(start)
+    arrived, done = Growing(front), 0
     while size:
-        steps.next()
+        done += 1
+        if done > limit and what:
+            raise RuntimeError(f"{what} took more than {limit} steps")
+        if done > limit:
+            return None
         f, a = front.alias("f"), links.alias("a")
         after = f.join(a, (F.col("f.auto_id") == F.col("a.auto_id")) & (F.col("f.state") == F.col("a.src")))
         after = after.select(F.col("a.auto_id").alias("auto_id"), F.col("a.dst").alias("state"), ring.times(F.col("f.weight"), F.col("a.weight")).alias("weight"))
-        front, size = counted(ring.sum(after.filter(~ring.is_zero(F.col("weight"))), ["auto_id", "state"]))
+        front, size = counted(ring.sum(after.filter(~ring.is_zero(F.col("weight"))), KEYS))
         arrived.add(front)
-    total = ring.sum(arrived.all(), ["auto_id", "state"]).join(star, ["auto_id", "state"], "left")
-    return total.select("auto_id", "state", F.when(F.col("star").isNull(), F.col("weight")).otherwise(ring.times(F.col("weight"), F.col("star"))).alias("weight"))
+    return ring.sum(arrived.all(), KEYS)
+
+
+def _over_chains(ring: Semiring, links: DataFrame, start: DataFrame, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What solve finds on the links without their unary chains, and from that the states inside chains."""
+    short = contracted(links, start, ring)
+    heads = settled(solve(short.links))
+    inner = short.inner.withColumnRenamed("weight", "way").join(heads.select("auto_id", F.col("state").alias("at"), "weight"), ["auto_id", "at"])
+    return heads.unionByName(inner.select(*KEYS, ring.times(F.col("weight"), F.col("way")).alias("weight")))
+
+
+def _started(auto: Automaton) -> tuple[DataFrame, DataFrame]:
+    ring = auto.ring
+    live = ~ring.is_zero(F.col("weight"))
+    return settled(neighbour_distances(auto).filter(live)), settled(ring.sum(auto.initial.filter(live), KEYS))
+
+
+def single_source(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
+    """(auto_id, state, weight): the sum over all paths from initial states, self-loops as closures; without other cycles.
+
+    Every superstep moves what arrived at a state in the last one along all arcs; the sum of all arrivals is taken once,
+    at the end. Steps are as many as the longest path has arcs; after PATIENCE of them unary chains are shortened, and it is
+    the longest path over states with several arcs in or out that counts."""
+    ring = auto.ring
+    links, start = _started(auto)
+    links, star, n = _loops(ring, links)
+    found = _sweep(ring, links, start, min(PATIENCE, max_steps))
+    if found is None:
+        found = _over_chains(ring, links, start, lambda short: _sweep(ring, short, start, max_steps, "a distance without cycles"))
+    return _carried(ring, found, star) if n else found
+
+
+def _through_cycles(ring: Semiring, links: DataFrame, start: DataFrame, max_steps: int) -> DataFrame:
+    """Sums over all paths of any graph: all pairs inside its components only, single source between them."""
+    links, star, n = _loops(ring, links)
+    found = _sweep(ring, links, start, min(PATIENCE, max_steps))
+    if found is None:
+        members = components(links, max_steps)
+        sweep = lambda x: _sweep(ring, x, start, max_steps, "a distance between components")
+        if members is None:
+            found = _over_chains(ring, links, start, sweep)
+        else:
+            closed, between = _split(ring, links, members)
+            found = _carried(ring, _over_chains(ring, settled(_folded(ring, between, closed)), start, sweep), closed)
+    return _carried(ring, found, star) if n else found
+
+
+def _split(ring: Semiring, links: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The closures inside components, and the links between them."""
+    at = lambda end: members.select("auto_id", F.col("state").alias(end), F.col("root").alias(f"{end}_root"))
+    placed = settled(links.join(at("src"), ["auto_id", "src"], "left").join(at("dst"), ["auto_id", "dst"], "left").withColumn("inside", F.coalesce(F.col("src_root") == F.col("dst_root"), F.lit(False))))
+    pick = lambda x: placed.filter(x).select("auto_id", "src", "dst", "weight")
+    return closures(links.sparkSession, ring, pick("inside"), members), pick("not inside")
 
 
 def all_pairs(auto: Automaton, states: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
     """(auto_id, src, dst, weight): the sum over all paths between two states, the empty path included; pairs not listed are zero.
 
-    states (default: all) get a pair with themselves. Path doubling: round k knows all paths of less than 2**k arcs, so rounds
-    grow with the logarithm of the longest path that matters. Converges where the ring's sums do."""
-    ring = auto.ring
+    states (default: all) get a pair with themselves. Loops and components are closed first, by elimination. What is left has no
+    cycles, so path doubling over it is exact: round k knows all paths of less than 2**k links, and it ends when there are no
+    longer ones."""
+    ring, keys = auto.ring, ["auto_id", "src", "dst"]
     states = auto.arc_states() if states is None else states
     unit = states.select("auto_id", F.col("state").alias("src"), F.col("state").alias("dst"), ring.lit(ring.one).alias("weight"))
-    keys = ["auto_id", "src", "dst"]
 
     def product(x: DataFrame, y: DataFrame) -> DataFrame:
         a, b = x.alias("a"), y.alias("b")
@@ -58,18 +131,26 @@ def all_pairs(auto: Automaton, states: DataFrame | None = None, max_rounds: int
         both = both.select(F.col("a.auto_id").alias("auto_id"), F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), ring.times(F.col("a.weight"), F.col("b.weight")).alias("weight"))
         return both.filter(~ring.is_zero(F.col("weight")))
 
-    power, open_ = counted(ring.sum(auto.arcs.filter(~ring.is_zero(F.col("weight"))), keys))
-    total = settled(ring.sum(unit.unionByName(power), keys))
-    steps = Steps(max_rounds, "an all-pairs distance")
-    while open_:
+    links, star, n = _loops(ring, settled(neighbour_distances(auto).filter(~ring.is_zero(F.col("weight")))))
+    members = components(links)
+    closed = None
+    if members is not None:
+        closed, between = _split(ring, links, members)
+        links = settled(_folded(ring, between, closed))
+    power = Replaced(links)
+    total, steps = Replaced(ring.sum(unit.unionByName(power.rows), keys)), Steps(max_rounds, "an all-pairs distance")
+    while power.n:
         steps.next()
-        power, open_ = counted(ring.sum(product(power, power), keys))
-        more = ring.sum(total.unionByName(product(power, total)), keys).join(total.withColumnRenamed("weight", "old"), keys, "left")
-        more, changed = counted(more, F.col("old").isNull() | ~ring.close(F.col("old"), F.col("weight")))
-        total = more.select(*keys, "weight")
-        if not changed:
-            break
-    return total
+        power.put(ring.sum(product(power.rows, power.rows), keys))
+        if power.n:
+            total.put(ring.sum(total.rows.unionByName(product(power.rows, total.rows)), keys))
+    found = total.rows
+    for last in [closed] * (closed is not None) + [star] * (n > 0):
+        after = last.select("auto_id", F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("weight").alias("way"))
+        both = found.join(after, ["auto_id", "dst"], "left")
+        weight = F.when(F.col("way").isNull(), F.col("weight")).otherwise(ring.times(F.col("weight"), F.col("way")))
+        found = ring.sum(both.select("auto_id", "src", F.coalesce("to", "dst").alias("dst"), weight.alias("weight")), keys)
+    return found
 
 
 def by_all_pairs(auto: Automaton) -> DataFrame:
@@ -81,17 +162,38 @@ def by_all_pairs(auto: Automaton) -> DataFrame:
     return ring.sum(both.filter(~ring.is_zero(F.col("weight"))), ["auto_id", "state"])
 
 
+def by_residuals(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
+    """(auto_id, state, weight) from the initial states, cycles or not, by a worklist: what has newly arrived at a state and would
+    still change its sum, by more than the ring's tolerance, moves on. For sums that converge within max_steps; it needs no
+    closure, and no pairs of states."""
+    ring = auto.ring
+    links, start = _started(auto)
+    total, steps = Replaced(start.withColumn("fresh", F.col("weight")), F.col("fresh").isNotNull()), Steps(max_steps, "a distance by residuals")
+    while total.n:
+        steps.next()
+        f, a = total.rows.filter("fresh is not null").alias("f"), links.alias("a")
+        after = f.join(a, (F.col("f.auto_id") == F.col("a.auto_id")) & (F.col("f.state") == F.col("a.src")))
+        after = after.select(F.col("a.auto_id").alias("auto_id"), F.col("a.dst").alias("state"), ring.times(F.col("f.fresh"), F.col("a.weight")).alias("weight"))
+        came, old = ring.sum(after, KEYS), total.rows.drop("fresh")
+        new = ring.sum(old.unionByName(came), KEYS).join(old.withColumnRenamed("weight", "old"), KEYS, "left").join(came.withColumnRenamed("weight", "came"), KEYS, "left")
+        moved = F.col("old").isNull() | ~ring.close(F.col("old"), F.col("weight"))
+        total.put(new.select(*KEYS, "weight", F.when(moved, F.col("came")).alias("fresh")))
+    return total.rows.drop("fresh")
+
+
 def all_path_distances(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
-    """(auto_id, state, weight) from the initial states: by supersteps for automata without cycles, by all pairs for the others."""
-    cyclic, n_cyclic = counted(is_cyclic(auto, max_steps).filter("cyclic").select("auto_id"))
-    if not n_cyclic:
-        return single_source(auto, max_steps)
-    part = lambda how: replace(auto, arcs=auto.arcs.join(cyclic, "auto_id", how), initial=auto.initial.join(cyclic, "auto_id", how), final=auto.final.join(cyclic, "auto_id", how))
-    round_, straight = part("left_semi"), part("left_anti")
-    found = by_all_pairs(round_)
-    if straight.initial.isEmpty():
-        return found
-    return found.unionByName(single_source(straight, max_steps))
+    """(auto_id, state, weight) from the initial states, cycles or not.
+
+    Supersteps first, which end soon on shallow graphs without cycles. If they don't, unary chains are shortened, and if
+    they still don't, strongly connected components are looked for: their sums are closed inside each, and supersteps go over
+    what lies between. No pairs of states are made outside components."""
+    ring = auto.ring
+    links, start = _started(auto)
+    links, star, n = _loops(ring, links)
+    found = _sweep(ring, links, start, min(PATIENCE, max_steps))
+    if found is None:
+        found = _over_chains(ring, links, start, lambda short: _through_cycles(ring, short, start, max_steps))
+    return _carried(ring, found, star) if n else found
 
 
 def cost(auto: Automaton, distances: Distances = all_path_distances) -> DataFrame:

@@ -7,17 +7,23 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.plans.iterate import Growing, Steps, counted, settled
+from arcloom.functions.semiring import BOOLEAN
+from arcloom.plans.iterate import PATIENCE, Growing, Replaced, Steps, counted, settled, together
 from arcloom.sources.automaton import ARCS, STATES, Automaton
 
+from .contract import contracted
 
-def accessible_states(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
-    """(auto_id, state), each state once: breadth first from the initial states, all automata of the batch at once."""
-    links = settled(auto.arcs.select("auto_id", "src", "dst").filter("src <> dst").distinct())
-    front, fresh = counted(auto.initial.select("auto_id", "state").distinct())
-    seen, steps = Growing(front), Steps(max_steps, "reachability")
+
+def _spread(links: DataFrame, start: DataFrame, limit: int, what: str | None = None) -> DataFrame | None:
+    """(auto_id, state) that links lead to from start; None if limit steps don't reach them all, or an error that names what."""
+    front, fresh = counted(start)
+    seen, done = Growing(front), 0
     while fresh:
-        steps.next()
+        done += 1
+        if done > limit and what:
+            raise RuntimeError(f"{what} took more than {limit} steps")
+        if done > limit:
+            return None
         after = front.alias("f").join(links.alias("a"), (F.col("f.auto_id") == F.col("a.auto_id")) & (F.col("f.state") == F.col("a.src")))
         after = after.select(F.col("a.auto_id").alias("auto_id"), F.col("a.dst").alias("state")).distinct()
         front, fresh = counted(after.join(seen.all(), ["auto_id", "state"], "left_anti"))
@@ -25,6 +31,26 @@ def accessible_states(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
     return seen.all()
 
 
+def _linked(arcs: DataFrame) -> DataFrame:
+    """(auto_id, src, dst, weight): whether there is an arc, without loops."""
+    return arcs.select("auto_id", "src", "dst").filter("src <> dst").distinct().withColumn("weight", F.lit(True))
+
+
+def accessible_states(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
+    """(auto_id, state), each state once: breadth first from the initial states, all automata of the batch at once. A search that
+    isn't done after PATIENCE steps starts again on the graph without its unary chains, whose inner states are then those of
+    chains whose beginning was reached."""
+    links = settled(_linked(auto.arcs))
+    start = settled(auto.initial.select("auto_id", "state").distinct())
+    found = _spread(links, start, min(PATIENCE, max_steps))
+    if found is None:
+        short = contracted(links, start, BOOLEAN)
+        heads = settled(_spread(short.links, start, max_steps, "reachability"))
+        inner = short.inner.select("auto_id", "state", "at").join(heads.withColumnRenamed("state", "at"), ["auto_id", "at"], "left_semi")
+        found = heads.unionByName(inner.select("auto_id", "state"))
+    return found
+
+
 def accessible_arcs(auto: Automaton) -> DataFrame:
     """The arcs whose source is accessible; all arcs where arcs off all paths belong to the value."""
     if not auto.reachable_only:
@@ -51,18 +77,23 @@ def trim(auto: Automaton) -> Automaton:
 
 
 def is_cyclic(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
-    """(auto_id, cyclic): whether accessible arcs other than self-loops form a cycle. Peels arcs that no arc leads to, or from, until none goes."""
+    """(auto_id, cyclic): whether accessible arcs other than self-loops form a cycle.
+
+    Arcs that no arc leads to, or from, are peeled off, and every PATIENCE rounds unary chains are shortened, so chains and trees
+    take a logarithm of their depth. A cycle is left over, or shortens to a loop, or to a ring that nothing leads to."""
     states = settled(accessible_states(auto, max_steps))
-    arcs = auto.arcs.join(states.withColumnRenamed("state", "src"), ["auto_id", "src"], "left_semi")
-    arcs, size = counted(arcs.filter("src <> dst").select("auto_id", "src", "dst").distinct())
-    steps = Steps(max_steps, "the cycle test")
-    while size:
+    arcs = Replaced(_linked(auto.arcs.join(states.withColumnRenamed("state", "src"), ["auto_id", "src"], "left_semi")))
+    steps, found = Steps(max_steps, "the cycle test"), []
+    while arcs.n:
         steps.next()
-        entered = arcs.select("auto_id", F.col("dst").alias("src")).distinct()
-        gone_on = arcs.select("auto_id", F.col("src").alias("dst")).distinct()
-        arcs, left = counted(arcs.join(entered, ["auto_id", "src"], "left_semi").join(gone_on, ["auto_id", "dst"], "left_semi"))
-        if left == size:
+        if steps.done % PATIENCE == 0:
+            short = contracted(arcs.rows, states.limit(0), BOOLEAN)
+            found.append(settled(short.links.filter("src = dst").select("auto_id").unionByName(short.rings.select("auto_id")).distinct()))
+            arcs.put(short.links.filter("src <> dst"))
+        size = arcs.n
+        entered = arcs.rows.select("auto_id", F.col("dst").alias("src")).distinct()
+        gone_on = arcs.rows.select("auto_id", F.col("src").alias("dst")).distinct()
+        if arcs.put(arcs.rows.join(entered, ["auto_id", "src"], "left_semi").join(gone_on, ["auto_id", "dst"], "left_semi")) == size:
             break
-        size = left
-    found = arcs.select("auto_id").distinct().withColumn("cyclic", F.lit(True))
+    found = together([*found, arcs.rows.select("auto_id")]).distinct().withColumn("cyclic", F.lit(True))
     return auto.initial.select("auto_id").distinct().join(found, "auto_id", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,40 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Supersteps after which a loop over a graph first shortens the graph's unary chains.
+PATIENCE = 6
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of this machine import the package from where the driver did."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+def _stored(df: DataFrame, test: Column | None) -> tuple[DataFrame, int, str]:
+    seen, path = Observation(), f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.observe(seen, F.count("*" if test is None else F.when(test, 1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"], path
+
+
 def counted(df: DataFrame, test: Column | None = None) -> tuple[DataFrame, int]:
     """df written to storage that outlives executors and read back, its lineage cut, and how many of its rows there are
     (for which test holds): all in one job."""
-    seen, path = Observation(), f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.observe(seen, F.count("*" if test is None else F.when(test, 1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+    return _stored(df, test)[:2]
+
+
+class Replaced:
+    """A table that a loop writes anew each time: rows is the latest form, n as in counted; the form before is deleted then."""
+
+    def __init__(self, df: DataFrame, test: Column | None = None):
+        self.test = test
+        self.rows, self.n, self.path = _stored(df, test)
+
+    def put(self, df: DataFrame) -> int:
+        old = self.path
+        self.rows, self.n, self.path = _stored(df, self.test)
+        target = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        return self.n
 
 
 def settled(df: DataFrame) -> DataFrame:
