@@ -236,6 +236,46 @@ class Tropical(Semiring):
         return 0.0 if a >= 0 else -math.inf
 
 
+class Best(Semiring):
+    """Another ring with the better of two weights for their sum: distances in it are those of the single best way."""
+
+    idempotent = True
+
+    def __init__(self, ring: Semiring):
+        self.ring, self.name = ring, f"best {ring.name}"
+        self.type, self.zero, self.one, self.descending, self.tolerance = ring.type, ring.zero, ring.one, ring.descending, ring.tolerance
+        self.plus_array, self.times_array = np.maximum if ring.descending else np.minimum, ring.times_array
+
+    def times(self, a, b):
+        return self.ring.times(a, b)
+
+    def divide(self, d, w):
+        return self.ring.divide(d, w)
+
+    def close(self, a, b):
+        return self.ring.close(a, b)
+
+    def rounded(self, a, digits=9):
+        return self.ring.rounded(a, digits)
+
+    def total(self, weight):
+        return F.max(weight) if self.descending else F.min(weight)
+
+    def closure(self, a):
+        gains = a > self.lit(self.one) if self.descending else a < self.lit(self.one)
+        return F.when(gains, self.lit(math.inf if self.descending else -math.inf)).otherwise(self.lit(self.one))
+
+    def plus_(self, a, b):
+        return max(a, b) if self.descending else min(a, b)
+
+    def times_(self, a, b):
+        return self.ring.times_(a, b)
+
+    def closure_(self, a):
+        gains = a > self.one if self.descending else a < self.one
+        return self.one if not gains else math.inf if self.descending else -math.inf
+
+
 BOOLEAN, PROBABILITY, LOG, TROPICAL = Boolean(), Probability(), Log(), Tropical()
 RINGS = {r.name: r for r in (BOOLEAN, PROBABILITY, LOG, TROPICAL)}
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from arcloom.functions.semiring import BOOLEAN, LOG, PROBABILITY, RINGS, TROPICAL
 from arcloom.operators import select as sel
 from arcloom.operators.collapse import neighbour_distances
+from arcloom.operators.components import components
 from arcloom.operators.compose import compose, dense_composer
 from arcloom.operators.counts import chain_counts, expected_counts
-from arcloom.operators.distance import all_pairs, all_path_distances, by_all_pairs
+from arcloom.operators.distance import Distances, all_pairs, all_path_distances, by_all_pairs, by_residuals
 from arcloom.operators.kbest import k_best, uniform
 from arcloom.operators.minimize import approximate
 from arcloom.operators.output import dot_lines, equal
@@ -248,7 +249,9 @@ def trim_query(spark, sf):
     return trim(derived.layers(spark, sf, regions="r_regionkey = 1")).arcs.select("src", "dst")
 
 
-@query("is_cyclic", "SELECT 'bg' AS auto_id, true AS cyclic UNION ALL SELECT 'ly', false")
+@query("is_cyclic", f"""WITH RECURSIVE {LY}, {CH}, nx AS (SELECT label, lead(label) OVER (PARTITION BY auto_id ORDER BY pos) AS next FROM ch),
+e AS (SELECT DISTINCT 'bg' AS g, label AS a, next AS b FROM nx WHERE next <> label UNION SELECT DISTINCT 'ly', src[1], dst[1] FROM ly), r(g, a, b) AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON r.g = e.g AND r.b = e.a)
+SELECT g AS auto_id, bool_or(a = b) AS cyclic FROM r GROUP BY g""")
 def is_cyclic_query(spark, sf):
     a, b = derived.markov(spark, sf), derived.layers(spark, sf)
     both = Automaton(a.arcs.unionByName(b.arcs), a.initial.unionByName(b.initial), a.final.unionByName(b.final), PROBABILITY)
@@ -299,6 +302,47 @@ def all_pairs_query(spark, sf):
     return all_pairs(derived.layers(spark, sf, orders=False)).select("src", "dst", rounded())
 
 
+RT = """rk AS (SELECT c_custkey AS c, c_nationkey AS n, (c_custkey % 10 + 1) / 10.0::DOUBLE AS w FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ro AS (SELECT o_custkey AS c, o_orderkey AS o, o_totalprice / 1e6::DOUBLE AS w, (o_orderkey % 7 + 1) / 1000.0::DOUBLE AS r FROM orders JOIN customer ON o_custkey = c_custkey),
+rl AS (SELECT c, 1 / (1 - sum(w * r)) AS l FROM ro GROUP BY c)"""
+
+
+@query("components", f"WITH {RT} SELECT 'c' || c AS state, 'c' || c AS root FROM rl UNION ALL SELECT 'o' || o, 'c' || c FROM ro")
+def components_query(spark, sf):
+    """A customer with its orders is one component; customers without orders and nations are none."""
+    return components(derived.returns(spark, sf).arcs).select("state", "root")
+
+
+def with_cycles(name: str, value: str, how: Distances, suffix: str = "") -> None:
+    """Distances and cost on the graph of returns. value: a customer's sum, from its own arc's weight rk.w and its cycle's closure l."""
+    ring = RINGS[name]
+    step, digits = {"tropical": "f.w + ro.w", "log": "f.w + ln(ro.w)"}.get(name, "f.w * ro.w"), 9 if name == "tropical" else 6
+    total = {"tropical": "min(w)", "log": "ln(sum(exp(w)))"}.get(name, "sum(w)")
+    sums = f"WITH {RT}, f AS (SELECT rk.c, {value} AS w FROM rk LEFT JOIN rl ON rk.c = rl.c), fo AS (SELECT o, {step} AS w FROM ro JOIN f ON ro.c = f.c)"
+    unit = "0.0" if name in ("tropical", "log") else "1.0"
+
+    @query(f"forward_cycles_{SHORT[name]}{suffix}", f"{sums} SELECT state, round(w, {digits}) + 0.0::DOUBLE AS weight FROM (SELECT 'n' || n_nationkey AS state, {unit}::DOUBLE AS w FROM nation UNION ALL SELECT 'c' || c, w FROM f UNION ALL SELECT 'o' || o, w FROM fo)")
+    def run(spark, sf):
+        return how(derived.returns(spark, sf, ring)).select("state", rounded(digits=digits))
+
+    @query(f"cost_cycles_{SHORT[name]}{suffix}", f"{sums} SELECT 'rt' AS auto_id, round({total}, {digits}) + 0.0::DOUBLE AS weight FROM fo")
+    def whole(spark, sf):
+        return derived.returns(spark, sf, ring).cost(distances=how).select("auto_id", rounded(digits=digits))
+
+
+with_cycles("probability", "rk.w * coalesce(l, 1)", all_path_distances)
+with_cycles("log", "ln(rk.w * coalesce(l, 1))", all_path_distances)
+with_cycles("tropical", "rk.w", by_residuals, "_residual")
+
+
+@query("all_pairs_cycles", f"""WITH {RT}, pc AS (SELECT 'c' || c AS s, 'c' || c AS d, l AS w FROM rl UNION ALL SELECT 'c' || rl.c, 'o' || o, l * w FROM rl JOIN ro ON rl.c = ro.c UNION ALL SELECT 'o' || o, 'c' || rl.c, l * r FROM rl JOIN ro ON rl.c = ro.c
+UNION ALL SELECT 'o' || a.o, 'o' || b.o, l * a.r * b.w + CASE WHEN a.o = b.o THEN 1 ELSE 0 END FROM rl JOIN ro a ON rl.c = a.c JOIN ro b ON rl.c = b.c UNION ALL SELECT 'c' || c, 'c' || c, 1.0 FROM rk WHERE c NOT IN (SELECT c FROM rl)),
+pn AS (SELECT 'n' || n AS s, d, rk.w * pc.w AS w FROM rk JOIN pc ON pc.s = 'c' || rk.c UNION ALL SELECT 'n' || n_nationkey, 'n' || n_nationkey, 1.0 FROM nation)
+SELECT s AS src, d AS dst, round(w, 6) + 0.0::DOUBLE AS weight FROM pc UNION ALL SELECT s, d, round(w, 6) + 0.0::DOUBLE FROM pn""")
+def all_pairs_cycles(spark, sf):
+    return all_pairs(derived.returns(spark, sf)).select("src", "dst", rounded())
+
+
 # Joins -----------------------------------------------------------------------------------------------------------------
 
 

@@ -67,6 +67,22 @@ def layers(spark: SparkSession, sf_dir: str, ring: Semiring = PROBABILITY, order
     return from_frames(reduce(DataFrame.unionByName, arcs).withColumn("auto_id", F.lit("ly")), start.withColumn("auto_id", F.lit("ly")), ends.select("state", one).withColumn("auto_id", F.lit("ly")), ring)
 
 
+def returns(spark: SparkSession, sf_dir: str, ring: Semiring = PROBABILITY) -> Automaton:
+    """Nations to customers, and customers to their orders and back: each customer with its orders is a cycle of its own. All nations
+    are initial, all orders final."""
+    read = lambda name: table(spark, sf_dir, name)
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    weigh = lambda w: {"boolean": F.lit(True), "log": F.log(w)}.get(ring.name, w).alias("weight")
+    customer, nation = read("customer"), read("nation")
+    orders = read("orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    down = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(key("n", "c_nationkey").alias("src"), key("c", "c_custkey").alias("dst"), F.col("c_mktsegment").alias("ilabel"), weigh((F.col("c_custkey") % 10 + 1) / 10.0))
+    out = orders.select(key("c", "o_custkey").alias("src"), key("o", "o_orderkey").alias("dst"), F.col("o_orderstatus").alias("ilabel"), weigh(F.col("o_totalprice") / 1e6))
+    back = orders.select(key("o", "o_orderkey").alias("src"), key("c", "o_custkey").alias("dst"), F.lit("again").alias("ilabel"), weigh((F.col("o_orderkey") % 7 + 1) / 1000.0))
+    one = ring.lit(ring.one).alias("weight")
+    named = lambda df: df.withColumn("auto_id", F.lit("rt"))
+    return from_frames(named(down.unionByName(out).unionByName(back)), named(nation.select(key("n", "n_nationkey").alias("state"), one)), named(orders.select(key("o", "o_orderkey").alias("state"), one)), ring)
+
+
 def markov(spark: SparkSession, sf_dir: str) -> Automaton:
     """The chain of event types: how often each follows another, starts and ends a user's events. Total mass one."""
     steps = event_steps(spark, sf_dir)
