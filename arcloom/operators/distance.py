@@ -95,7 +95,7 @@ def single_source(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
 def _through_cycles(ring: Semiring, links: DataFrame, start: DataFrame, max_steps: int) -> DataFrame:
     """Sums over all paths of any graph: all pairs inside its components only, single source between them."""
     links, star, n = _loops(ring, links)
-    found = _sweep(ring, links, start, min(PATIENCE, max_steps))
+    found = _sweep(ring, links, start, min(PATIENCE // 3, max_steps))
     if found is None:
         members = components(links, max_steps)
         sweep = lambda x: _sweep(ring, x, start, max_steps, "a distance between components")

@@ -78,9 +78,10 @@ class BestPaths:
         ring = auto.ring
         self.auto, self.max_len, self.max_steps, self.given = auto, max_len, max_steps, 0
         self.ways, self.short = settled(_single(auto)), False
-        self.final = settled(ring.sum(auto.final.filter(~ring.is_zero(F.col("weight"))), KEYS).withColumnRenamed("weight", "end"))
+        ends = ring.sum(auto.final.filter(~ring.is_zero(F.col("weight"))), KEYS).withColumnRenamed("weight", "end")
         hints = heuristic(auto)
-        self.hints = None if hints is None else settled(hints.filter(~ring.is_zero(F.col("weight"))).select(*KEYS, F.col("weight").alias("hint")))
+        self.blind = hints is None
+        self.marks = settled(ends if hints is None else hints.filter(~ring.is_zero(F.col("weight"))).select(*KEYS, F.col("weight").alias("hint")).join(ends, KEYS, "left"))
         self.paths: Replaced | None = None
 
     def _order(self, name: str) -> Column:
@@ -89,63 +90,60 @@ class BestPaths:
     def _arrived(self, df: DataFrame) -> DataFrame:
         """df (auto_id, state, labels, n, weight) with hope and, at final states, the total weight."""
         ring = self.auto.ring
-        if self.hints is None:
-            df = df.withColumn("hope", F.col("weight"))
-        else:
-            df = df.join(self.hints, KEYS).withColumn("hope", ring.times(F.col("weight"), F.col("hint")))
+        df = df.join(self.marks, KEYS, "left" if self.blind else "inner")
+        hope = F.col("weight") if self.blind else ring.times(F.col("weight"), F.col("hint"))
         total = F.when(F.col("end").isNotNull(), ring.times(F.col("weight"), F.col("end")))
-        return df.join(self.final, KEYS, "left").select(*KEYS, "labels", "n", "weight", "hope", total.alias("total"), F.lit(OPEN).alias("stage"))
+        return df.select(*KEYS, "labels", "n", "weight", hope.alias("hope"), total.alias("total"), F.lit(OPEN).alias("stage"))
+
+    def _placed(self, paths: DataFrame) -> DataFrame:
+        """paths with their place among those that end at the same state."""
+        here = Window.partitionBy(*KEYS, *["n"] * (self.max_len is not None)).orderBy(self._order("weight"), "labels")
+        return paths.withColumn("place", F.row_number().over(here))
 
     def _started(self) -> DataFrame:
         ring, auto = self.auto.ring, self.auto
         label = auto.arcs.schema["olabel"].dataType.simpleString()
         start = auto.initial.filter(~ring.is_zero(F.col("weight"))).select(*KEYS, F.array().cast(f"array<{label}>").alias("labels"), F.lit(0).cast("long").alias("n"), "weight")
-        return self._arrived(start)
-
-    def _chosen(self, paths: DataFrame, k: int) -> DataFrame:
-        """paths with those of this superstep TAKEN."""
-        here = Window.partitionBy(*KEYS, *["n"] * (self.max_len is not None)).orderBy(self._order("weight"), "labels")
-        by_total, by_hope = Window.partitionBy("auto_id").orderBy(self._order("total"), "labels"), Window.partitionBy("auto_id").orderBy(self._order("hope"), "labels")
-        best = paths.filter("total is not null").withColumn("r", F.row_number().over(by_total)).filter(F.col("r") <= k)
-        worst = best.filter(F.col("r") == k).select("auto_id", F.col("total").alias("worst"))
-        slack = 0.0 if self.auto.ring.type == "boolean" else 1e-9
-        if slack:
-            margin = slack * F.greatest(F.lit(1.0), F.abs("worst"))
-            hopeful = F.col("worst").isNull() | ((F.col("hope") >= F.col("worst") - margin) if self.auto.ring.descending else (F.col("hope") <= F.col("worst") + margin))
-        else:
-            hopeful = F.lit(True)
-        ranked = paths.withColumn("place", F.row_number().over(here)).join(worst, "auto_id", "left")
-        may = (F.col("stage") == OPEN) & (F.col("place") <= k) & hopeful
+        return self._placed(self._arrived(start))
+
+    def _extended(self, paths: DataFrame, k: int) -> DataFrame:
+        """paths after a superstep: those TAKEN in the last one are SPENT, those that hope for most are TAKEN, and what they
+        grow into is added. Two weights of each automaton decide, that of its k-th accepted path and the lowest hope that is
+        taken; both are found without bringing an automaton's paths together."""
+        ring, width = self.auto.ring, max(64, 4 * k)
+
+        def bar(df: DataFrame, by: str, at: int, name: str) -> DataFrame:
+            order = Window.partitionBy("auto_id").orderBy(self._order(by))
+            first = df.filter(F.col(by).isNotNull()).select("auto_id", by).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= at)
+            return first.filter(F.col("r") == at).select("auto_id", F.col(by).alias(name))
+
+        def reaches(name: str) -> Column:
+            if ring.type == "boolean":
+                return F.lit(True)
+            slack = 1e-9 * F.greatest(F.lit(1.0), F.abs(name))
+            return F.col(name).isNull() | ((F.col("hope") >= F.col(name) - slack) if ring.descending else (F.col("hope") <= F.col(name) + slack))
+
+        may = (F.col("stage") == OPEN) & (F.col("place") <= k) & reaches("worst")
         if self.max_len is not None:
             may = may & (F.col("n") < self.max_len)
-        keys = ["auto_id", "state", "labels", "n", "weight", "hope", "total"]
-        open_ = ranked.filter(may).select(*keys, F.row_number().over(by_hope).alias("turn"))
-        open_ = open_.select(*keys, F.when(F.col("turn") <= max(64, 4 * k), TAKEN).otherwise(OPEN).alias("stage"))
-        return open_.unionByName(ranked.filter(~may).select(*keys, "stage"))
-
-    def _extended(self, paths: DataFrame) -> DataFrame:
-        ring = self.auto.ring
-        p, w = paths.filter(F.col("stage") == TAKEN).alias("p"), self.ways.alias("w")
+        known = paths.join(bar(paths, "total", k, "worst"), "auto_id", "left").withColumn("may", may)
+        known = known.join(bar(known.filter("may"), "hope", width, "least"), "auto_id", "left").withColumn("taken", F.col("may") & reaches("least"))
+        columns = [*KEYS, "labels", "n", "weight", "hope", "total"]
+        kept = known.select(*columns, F.when(F.col("taken"), TAKEN).when(F.col("stage") == TAKEN, SPENT).otherwise(F.col("stage")).alias("stage"))
+        p, w = known.filter("taken").alias("p"), self.ways.alias("w")
         grown = p.join(w, (F.col("p.auto_id") == F.col("w.auto_id")) & (F.col("p.state") == F.col("w.src")))
         grown = grown.select("p.auto_id", F.col("w.dst").alias("state"), F.concat("p.labels", "w.labels").alias("labels"), (F.col("p.n") + F.col("w.n")).alias("n"), ring.times(F.col("p.weight"), F.col("w.weight")).alias("weight"))
         if self.max_len is not None:
             grown = grown.filter(F.col("n") <= self.max_len)
-        kept = paths.withColumn("stage", F.when(F.col("stage") == TAKEN, SPENT).otherwise(F.col("stage")))
-        return kept.unionByName(self._arrived(grown))
+        return self._placed(kept.unionByName(self._arrived(grown)))
 
     def _search(self, k: int, limit: int) -> bool:
-        taken = F.col("stage") == TAKEN
         if self.paths is None:
-            self.paths = Replaced(self._chosen(self._started(), k), taken)
-        else:
-            self.paths.put(self._chosen(self.paths.rows, k))
-        done = 0
-        while self.paths.n:
-            done += 1
-            if done > limit:
-                return False
-            self.paths.put(self._chosen(self._extended(self.paths.rows), k))
-        return True
+            self.paths = Replaced(self._started(), F.col("stage") == TAKEN)
+        for _ in range(limit):
+            if not self.paths.put(self._extended(self.paths.rows, k)):
+                return True
+        return False
 
     def next(self, k: int) -> DataFrame:
         """(auto_id, rank, labels array, text, weight): the next k accepting paths of each automaton."""

@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Supersteps after which a loop over a graph first shortens the graph's unary chains.
-PATIENCE = 6
+PATIENCE = 10
 
 
 def importable(spark: SparkSession) -> None:
