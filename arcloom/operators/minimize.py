@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import Semiring
-from arcloom.plans.iterate import Steps, settled
+from arcloom.plans.iterate import Replaced, Steps, settled
 from arcloom.sources.automaton import ARCS, STATES, Automaton
 
 from .reach import accessible_states, restricted
@@ -31,8 +31,10 @@ def approximate(digits: int = 6) -> Partitioner:
 def minimize(auto: Automaton, partitioner: Partitioner = identical, max_rounds: int = 10_000) -> Automaton:
     """States that no string of labels and weights tells apart, merged; numbered from 0 in each automaton.
 
-    Each round names a state by its block and what its arcs sum to by label and target block; it ends when no block splits.
-    For an automaton with several arcs of one label this is a bisimulation. Push weights first for the smallest result."""
+    A worklist of blocks: only what arcs sum to by label and by block that has split in the last round is looked at, so only states
+    with arcs into such blocks can be told apart anew. A block's largest part keeps its name, the others get names of
+    their own, and all of its parts are looked at in the next round; it ends when no block splits. For an automaton with several
+    arcs of one label this is a bisimulation. Push weights first for the smallest result."""
     from .project import relabel
 
     ring = auto.ring
@@ -40,20 +42,22 @@ def minimize(auto: Automaton, partitioner: Partitioner = identical, max_rounds:
     states, arcs = settled(own.arc_states()), settled(own.arcs)
     keys = ["auto_id", "state"]
     weighed = states.join(own.final, keys, "left").withColumn("weight", F.coalesce("weight", ring.lit(ring.zero)))
-    blocks = settled(weighed.select("auto_id", "state", F.sha2(F.coalesce(partitioner(ring, F.col("weight")).cast("string"), F.lit("-")), 256).alias("block")))
-    count, steps = blocks.select("auto_id", "block").distinct().count(), Steps(max_rounds, "a minimization")
-    while True:
+    first = F.sha2(F.coalesce(partitioner(ring, F.col("weight")).cast("string"), F.lit("-")), 256)
+    table = Replaced(weighed.select(*keys, first.alias("block"), F.lit(True).alias("split")), F.col("split"))
+    steps = Steps(max_rounds, "a minimization")
+    while table.n:
         steps.next()
-        to = blocks.select("auto_id", F.col("state").alias("dst"), F.col("block").alias("to"))
+        to = table.rows.filter("split").select("auto_id", F.col("state").alias("dst"), F.col("block").alias("to"))
         sums = ring.sum(arcs.join(to, ["auto_id", "dst"]), ["auto_id", "src", "ilabel", "olabel", "to"])
         item = F.struct("ilabel", "olabel", "to", partitioner(ring, F.col("weight")).alias("w"))
-        arms = sums.filter(~ring.is_zero(F.col("weight"))).groupBy("auto_id", F.col("src").alias("state")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("arms"))
-        named = blocks.join(arms, keys, "left").select("auto_id", "state", F.sha2(F.concat_ws("|", "block", F.coalesce("arms", F.lit(""))), 256).alias("block"))
-        named = settled(named)
-        now = named.select("auto_id", "block").distinct().count()
-        if now == count:
-            break
-        blocks, count = named, now
+        arms = sums.filter(~ring.is_zero(F.col("weight"))).groupBy("auto_id", F.col("src").alias("state")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(item))), 256).alias("arms"))
+        seen = table.rows.drop("split").join(arms, keys, "left").withColumn("arms", F.coalesce("arms", F.lit("")))
+        parts = seen.groupBy("auto_id", "block", "arms").agg(F.count("*").alias("n"))
+        most = parts.groupBy("auto_id", "block").agg(F.max(F.struct("n", "arms")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+        named = seen.join(most, ["auto_id", "block"], "left")
+        block = F.when(F.col("most").isNull() | (F.col("most.arms") == F.col("arms")), F.col("block")).otherwise(F.sha2(F.concat_ws("|", "block", "arms", F.lit(steps.done)), 256))
+        table.put(named.select(*keys, block.alias("block"), F.col("most").isNotNull().alias("split")))
+    blocks = table.rows.drop("split")
     low = blocks.groupBy("auto_id", "block").agg(F.min("state").alias("src"))
     to = blocks.select("auto_id", F.col("state").alias("dst"), F.col("block").alias("to"))
     merged = arcs.join(low, ["auto_id", "src"]).join(to, ["auto_id", "dst"])
