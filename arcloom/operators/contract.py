@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import Semiring
-from arcloom.plans.iterate import Replaced, settled
+from arcloom.plans.iterate import Replaced, laid_out, settled
 
 KEYS = ["auto_id", "state"]
 
@@ -50,4 +50,4 @@ def contracted(links: DataFrame, fixed: DataFrame, ring: Semiring) -> Contracted
     ended = table.rows.filter(~F.col("open")).drop("open")
     out = links.join(inner.withColumnRenamed("state", "dst"), ["auto_id", "dst"], "left_anti").join(ended.select("auto_id", F.col("state").alias("src"), "at", F.col("weight").alias("way")), ["auto_id", "src"], "left")
     out = out.select("auto_id", F.coalesce("at", "src").alias("src"), "dst", F.when(F.col("at").isNull(), F.col("weight")).otherwise(ring.times(F.col("way"), F.col("weight"))).alias("weight"))
-    return Contracted(settled(ring.sum(out, ["auto_id", "src", "dst"])), ended, table.rows.filter("open").select(*KEYS))
+    return Contracted(laid_out(ring.sum(out, ["auto_id", "src", "dst"]), "auto_id", "src"), ended, table.rows.filter("open").select(*KEYS))

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from arcloom.plans.iterate import Growing, Steps, counted, settled
+from arcloom.plans.iterate import Growing, Steps, counted, laid_out, settled
 from arcloom.sources.automaton import ARCS, STATES, Automaton
 
 DIGITS = 10
@@ -21,7 +21,7 @@ def determinize(auto: Automaton, max_steps: int = 10_000, max_states: int = 10_0
     end, so more than max_states states raise an error.
     """
     ring, plain = auto.ring, auto.ring.name == "boolean"
-    arcs = settled(auto.arcs.select("auto_id", F.col("src").alias("s"), "dst", "ilabel", "olabel", "weight").filter(~ring.is_zero(F.col("weight"))))
+    arcs = laid_out(auto.arcs.select("auto_id", F.col("src").alias("s"), "dst", "ilabel", "olabel", "weight").filter(~ring.is_zero(F.col("weight"))), "auto_id", "s")
 
     def named(df, group: list[str]):
         pair = F.struct(F.col("dst").alias("s"), F.col("rest").alias("w"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import Semiring
-from arcloom.plans.iterate import PATIENCE, Growing, Replaced, Steps, counted, settled
+from arcloom.plans.iterate import PATIENCE, Growing, Replaced, Steps, counted, laid_out, settled
 from arcloom.sources.automaton import Automaton
 
 from .collapse import neighbour_distances
@@ -41,7 +41,14 @@ def _loops(ring: Semiring, links: DataFrame) -> tuple[DataFrame, DataFrame, int]
     """links without loops, each with its source's loop closed before it; the closed loops; how many."""
     star, n = counted(links.filter("src = dst").select("auto_id", "src", "dst", ring.closure(F.col("weight")).alias("weight")))
     rest = links.filter("src <> dst")
-    return (settled(_folded(ring, rest, star)) if n else rest), star, n
+    return (laid_out(_folded(ring, rest, star), "auto_id", "src") if n else rest), star, n
+
+
+def _moved(ring: Semiring, front: DataFrame, links: DataFrame) -> DataFrame:
+    """front (auto_id, state, weight) moved along links. Links lie in buckets by their source, so only the front is shuffled, or broadcast."""
+    f, a = front.alias("f"), links.alias("a")
+    after = f.join(a, (F.col("f.auto_id") == F.col("a.auto_id")) & (F.col("f.state") == F.col("a.src")))
+    return after.select(F.col("a.auto_id").alias("auto_id"), F.col("a.dst").alias("state"), ring.times(F.col("f.weight"), F.col("a.weight")).alias("weight"))
 
 
 def _sweep(ring: Semiring, links: DataFrame, start: DataFrame, limit: int, what: str | None = None) -> DataFrame | None:
@@ -55,10 +62,7 @@ def _sweep(ring: Semiring, links: DataFrame, start: DataFrame, limit: int, what:
             raise RuntimeError(f"{what} took more than {limit} steps")
         if done > limit:
             return None
-        f, a = front.alias("f"), links.alias("a")
-        after = f.join(a, (F.col("f.auto_id") == F.col("a.auto_id")) & (F.col("f.state") == F.col("a.src")))
-        after = after.select(F.col("a.auto_id").alias("auto_id"), F.col("a.dst").alias("state"), ring.times(F.col("f.weight"), F.col("a.weight")).alias("weight"))
-        front, size = counted(ring.sum(after.filter(~ring.is_zero(F.col("weight"))), KEYS))
+        front, size = counted(ring.sum(_moved(ring, front, links).filter(~ring.is_zero(F.col("weight"))), KEYS))
         arrived.add(front)
     return ring.sum(arrived.all(), KEYS)
 
@@ -74,7 +78,7 @@ def _over_chains(ring: Semiring, links: DataFrame, start: DataFrame, solve: Call
 def _started(auto: Automaton) -> tuple[DataFrame, DataFrame]:
     ring = auto.ring
     live = ~ring.is_zero(F.col("weight"))
-    return settled(neighbour_distances(auto).filter(live)), settled(ring.sum(auto.initial.filter(live), KEYS))
+    return laid_out(neighbour_distances(auto).filter(live), "auto_id", "src"), settled(ring.sum(auto.initial.filter(live), KEYS))
 
 
 def single_source(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
@@ -103,7 +107,7 @@ def _through_cycles(ring: Semiring, links: DataFrame, start: DataFrame, max_step
             found = _over_chains(ring, links, start, sweep)
         else:
             closed, between = _split(ring, links, members)
-            found = _carried(ring, _over_chains(ring, settled(_folded(ring, between, closed)), start, sweep), closed)
+            found = _carried(ring, _over_chains(ring, laid_out(_folded(ring, between, closed), "auto_id", "src"), start, sweep), closed)
     return _carried(ring, found, star) if n else found
 
 
@@ -171,10 +175,8 @@ def by_residuals(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
     total, steps = Replaced(start.withColumn("fresh", F.col("weight")), F.col("fresh").isNotNull()), Steps(max_steps, "a distance by residuals")
     while total.n:
         steps.next()
-        f, a = total.rows.filter("fresh is not null").alias("f"), links.alias("a")
-        after = f.join(a, (F.col("f.auto_id") == F.col("a.auto_id")) & (F.col("f.state") == F.col("a.src")))
-        after = after.select(F.col("a.auto_id").alias("auto_id"), F.col("a.dst").alias("state"), ring.times(F.col("f.fresh"), F.col("a.weight")).alias("weight"))
-        came, old = ring.sum(after, KEYS), total.rows.drop("fresh")
+        front = total.rows.filter("fresh is not null").select(*KEYS, F.col("fresh").alias("weight"))
+        came, old = ring.sum(_moved(ring, front, links), KEYS), total.rows.drop("fresh")
         new = ring.sum(old.unionByName(came), KEYS).join(old.withColumnRenamed("weight", "old"), KEYS, "left").join(came.withColumnRenamed("weight", "came"), KEYS, "left")
         moved = F.col("old").isNull() | ~ring.close(F.col("old"), F.col("weight"))
         total.put(new.select(*KEYS, "weight", F.when(moved, F.col("came")).alias("fresh")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import TROPICAL, Best
-from arcloom.plans.iterate import PATIENCE, Replaced, settled
+from arcloom.plans.iterate import PATIENCE, Replaced, laid_out, settled
 from arcloom.sources.automaton import Automaton
 
 from .contract import contracted
@@ -77,7 +77,7 @@ class BestPaths:
     def __init__(self, auto: Automaton, heuristic=best_way, max_len: int | None = None, max_steps: int = 10_000):
         ring = auto.ring
         self.auto, self.max_len, self.max_steps, self.given = auto, max_len, max_steps, 0
-        self.ways, self.short = settled(_single(auto)), False
+        self.ways, self.short = laid_out(_single(auto), "auto_id", "src"), False
         ends = ring.sum(auto.final.filter(~ring.is_zero(F.col("weight"))), KEYS).withColumnRenamed("weight", "end")
         hints = heuristic(auto)
         self.blind = hints is None
@@ -150,7 +150,7 @@ class BestPaths:
         most = self.given + k
         if self.short or not self._search(most, PATIENCE):
             if not self.short:
-                self.ways, self.short, self.paths = settled(_chained(self.ways, self.auto)), True, None
+                self.ways, self.short, self.paths = laid_out(_chained(self.ways, self.auto), "auto_id", "src"), True, None
             if not self._search(most, self.max_steps):
                 raise RuntimeError(f"k-best took more than {self.max_steps} steps")
         best = Window.partitionBy("auto_id").orderBy(self._order("total"), "labels")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import BOOLEAN
-from arcloom.plans.iterate import PATIENCE, Growing, Replaced, Steps, counted, settled, together
+from arcloom.plans.iterate import PATIENCE, Growing, Replaced, Steps, counted, laid_out, settled, together
 from arcloom.sources.automaton import ARCS, STATES, Automaton
 
 from .contract import contracted
@@ -40,7 +40,7 @@ def accessible_states(auto: Automaton, max_steps: int = 10_000) -> DataFrame:
     """(auto_id, state), each state once: breadth first from the initial states, all automata of the batch at once. A search that
     isn't done after PATIENCE steps starts again on the graph without its unary chains, whose inner states are then those of
     chains whose beginning was reached."""
-    links = settled(_linked(auto.arcs))
+    links = laid_out(_linked(auto.arcs), "auto_id", "src")
     start = settled(auto.initial.select("auto_id", "state").distinct())
     found = _spread(links, start, min(PATIENCE, max_steps))
     if found is None:

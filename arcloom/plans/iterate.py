@@ -62,6 +62,16 @@ def settled(df: DataFrame) -> DataFrame:
     return counted(df)[0]
 
 
+def laid_out(df: DataFrame, *keys: str) -> DataFrame:
+    """df written once to the shared folder in buckets by keys, sorted in each, as many as there are shuffle partitions: a join on
+    the keys moves the other side only, however often it is done."""
+    spark, name = df.sparkSession, f"laid_out_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet")
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def together(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
