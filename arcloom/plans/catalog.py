@@ -14,7 +14,7 @@ from arcloom.operators.components import components
 from arcloom.operators.compose import compose, dense_composer
 from arcloom.operators.counts import chain_counts, expected_counts
 from arcloom.operators.distance import Distances, all_pairs, all_path_distances, by_all_pairs, by_residuals
-from arcloom.operators.kbest import k_best, uniform
+from arcloom.operators.kbest import BestPaths, k_best, uniform
 from arcloom.operators.minimize import approximate
 from arcloom.operators.output import dot_lines, equal
 from arcloom.operators.reach import is_cyclic, trim
@@ -68,29 +68,59 @@ def layer_arcs(spark, sf):
     return arcs_of(derived.layers(spark, sf))
 
 
-@query("edit_arcs", """WITH c(x) AS (VALUES ('a'), ('b'), ('c'), ('')), k AS (SELECT -ln(2 * exp(-3.0::DOUBLE) + 1 + 4 * exp(-4.0::DOUBLE)) AS m)
-SELECT a.x AS ilabel, b.x AS olabel, round(CASE WHEN a.x = '' OR b.x = '' THEN m - 4 WHEN a.x = b.x THEN m ELSE m - 3 END, 6) + 0.0::DOUBLE AS weight FROM c a, c b, k WHERE a.x <> '' OR b.x <> ''""")
+#: The alphabet of order states, its size, and the log weight of a match over it.
+EDITS = """c AS (SELECT DISTINCT o_orderstatus AS x FROM orders UNION ALL SELECT ''), k AS (SELECT -ln((n - 1) * exp(-3.0::DOUBLE) + 1 + (n + 1) * exp(-4.0::DOUBLE)) AS m, n FROM (SELECT count(DISTINCT o_orderstatus) AS n FROM orders)),
+ed AS (SELECT a.x AS i, b.x AS o, CASE WHEN a.x = '' OR b.x = '' THEN m - 4 WHEN a.x = b.x THEN m ELSE m - 3 END AS w FROM c a, c b, k WHERE a.x <> '' OR b.x <> '')"""
+
+
+def letters_of(spark: SparkSession, sf: str, name: str, column: str) -> list[str]:
+    """An alphabet: the distinct labels in a column of codes."""
+    return [r[0] for r in derived.table(spark, sf, name).select(column).distinct().collect()]
+
+
+def status_edits(spark: SparkSession, sf: str) -> Automaton:
+    return make.edit_distance(spark, -3.0, -4.0, letters_of(spark, sf, "orders", "o_orderstatus"))
+
+
+@query("edit_arcs", f"WITH {EDITS} SELECT i AS ilabel, o AS olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ed")
 def edit_arcs(spark, sf):
-    return make.edit_distance(spark, -3.0, -4.0, "abc").arcs.select("ilabel", "olabel", rounded())
+    return status_edits(spark, sf).arcs.select("ilabel", "olabel", rounded())
+
+
+def mean_length(steps: DataFrame) -> float:
+    return steps.agg(F.count("*") / F.count_distinct("auto_id")).first()[0]
+
+
+def event_decay(spark: SparkSession, sf: str) -> Automaton:
+    """Lengths of the users' chains of events, as a geometric distribution."""
+    return make.decay(spark, mean_length(derived.event_steps(spark, sf)), letters_of(spark, sf, "events", "event_type"))
 
 
-@query("decay_cost", "SELECT 'decay' AS auto_id, 0.0::DOUBLE AS weight")
+DECAY = "de AS (SELECT count(*) / count(DISTINCT user_id)::DOUBLE AS e, count(DISTINCT event_type) AS n FROM events)"
+
+
+@query("decay_cost", f"WITH {DECAY} SELECT 'decay' AS auto_id, round(ln(1 / (1 + e) / (1 - n * (e / (1 + e) / n))), 6) + 0.0::DOUBLE AS weight FROM de")
 def decay_cost(spark, sf):
-    return make.decay(spark, 4.0, "bcd").cost().select("auto_id", rounded())
+    return event_decay(spark, sf).cost().select("auto_id", rounded())
 
 
-POISSON = """WITH s AS (SELECT i, exp(i * ln(4.0::DOUBLE) - 4.0 - ln(gamma(i + 1.0::DOUBLE))) AS p FROM generate_series(0, 4) g(i)), l AS (SELECT 1 - sum(p) AS left_, sum(p) AS below FROM s)
+POISSON = """WITH m AS (SELECT count(*) / count(DISTINCT conv_id)::DOUBLE AS e FROM conversations), s AS (SELECT i, exp(i * ln(e) - e - ln(gamma(i + 1.0::DOUBLE))) AS p FROM generate_series(0, 4) g(i), m), l AS (SELECT 1 - sum(p) AS left_, sum(p) AS below FROM s)
 SELECT 'poisson' AS auto_id, round(ln(below + {tail}), 6) + 0.0::DOUBLE AS weight FROM l"""
 
 
+def turn_lengths(spark: SparkSession, sf: str, **options) -> Automaton:
+    """Lengths of conversations, as a Poisson distribution up to five turns."""
+    return make.poisson(spark, mean_length(derived.conversation_steps(spark, sf)), 5, letters_of(spark, sf, "conversations", "role"), **options)
+
+
 @query("poisson_cost", POISSON.format(tail="left_ * 0.9 / (1 - left_ * 0.1)"))
 def poisson_cost(spark, sf):
-    return make.poisson(spark, 4.0, 5, "ab").cost().select("auto_id", rounded())
+    return turn_lengths(spark, sf).cost().select("auto_id", rounded())
 
 
 @query("poisson_cost_normalized", POISSON.format(tail="left_"))
 def poisson_cost_normalized(spark, sf):
-    return make.poisson(spark, 4.0, 5, "ab", normalized=True).cost().select("auto_id", rounded())
+    return turn_lengths(spark, sf, normalized=True).cost().select("auto_id", rounded())
 
 
 # Filters and projections -----------------------------------------------------------------------------------------------
@@ -115,26 +145,21 @@ matched("match_input", "src = 'n3' AND ilabel = 'BUILDING'", lambda: sel.input_l
 matched("match_output", "src = 'c7' AND olabel = 'BUILDING'", lambda: sel.output_label("c7", "BUILDING"))
 
 
-EDITS = """WITH c(x) AS (VALUES ('a'), ('b'), ('c'), ('')), k AS (SELECT -ln(2 * exp(-3.0::DOUBLE) + 1 + 4 * exp(-4.0::DOUBLE)) AS m)
-SELECT a.x AS ilabel, b.x AS olabel, round(CASE WHEN a.x = '' OR b.x = '' THEN m - 4 WHEN a.x = b.x THEN m ELSE m - 3 END, 6) + 0.0::DOUBLE AS weight FROM c a, c b, k WHERE (a.x <> '' OR b.x <> '') AND """
-
-
 def matched_edits(name: str, where: str, match: Callable[[], Column]) -> None:
-    @query(name, EDITS + where)
+    @query(name, f"WITH {EDITS} SELECT i AS ilabel, o AS olabel, round(w, 6) + 0.0::DOUBLE AS weight FROM ed WHERE {where}")
     def run(spark, sf):
-        auto = make.edit_distance(spark, -3.0, -4.0, "abc")
-        return sel.edges_matching(auto, match()).select("ilabel", "olabel", rounded())
+        return sel.edges_matching(status_edits(spark, sf), match()).select("ilabel", "olabel", rounded())
 
 
 matched_edits("match_edit_sigma", "true", lambda: sel.sigma(0))
-matched_edits("match_edit_input", "a.x = 'a'", lambda: sel.input_label(0, "a"))
-matched_edits("match_edit_output", "b.x = ''", lambda: sel.output_label(0, ""))
-matched_edits("match_edit_pair", "a.x = 'b' AND b.x = 'c'", lambda: sel.pair(0, "b", "c"))
+matched_edits("match_edit_input", "i = 'F'", lambda: sel.input_label(0, "F"))
+matched_edits("match_edit_output", "o = ''", lambda: sel.output_label(0, ""))
+matched_edits("match_edit_pair", "i = 'O' AND o = 'P'", lambda: sel.pair(0, "O", "P"))
 
 
-@query("match_decay", "SELECT 'c' AS ilabel, round(ln(4.0::DOUBLE / 5) - ln(3.0::DOUBLE), 6) + 0.0::DOUBLE AS weight")
+@query("match_decay", f"WITH {DECAY} SELECT 'click' AS ilabel, round(ln(e / (1 + e)) - ln(n), 6) + 0.0::DOUBLE AS weight FROM de")
 def match_decay(spark, sf):
-    return sel.edges_matching(make.decay(spark, 4.0, "bcd"), sel.label(0, "c")).select("ilabel", rounded())
+    return sel.edges_matching(event_decay(spark, sf), sel.label(0, "click")).select("ilabel", rounded())
 
 
 def without_building(spark: SparkSession, sf: str) -> Automaton:
@@ -152,9 +177,13 @@ def transformed(spark, sf):
     return arcs_of(without_building(spark, sf).transform(sel.nonzero).transform(Automaton.swap_labels))
 
 
-@query("integer_arcs", "SELECT CAST(s AS BIGINT) AS src, CAST(d AS BIGINT) AS dst, CAST(l AS INTEGER) AS label, w::DOUBLE AS weight FROM (VALUES (0, 1, 7, 2.0), (0, 2, 8, 3.0), (1, 2, 9, 4.0)) v(s, d, l, w)")
+@query("integer_arcs", "SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(5 + n_nationkey AS BIGINT) AS dst, CAST(n_nationkey AS INTEGER) AS label, n_nationkey / 10.0::DOUBLE AS weight FROM nation")
 def integer_arcs(spark, sf):
-    auto = make.int_automaton(spark, TROPICAL, [[(1, 7, 2.0), (2, 8, 3.0)], [(2, 9, 4.0)], []], [0.0], [float("inf"), float("inf"), 0.0])
+    """Regions and their nations as indexed sequences of arcs with integer labels."""
+    rows = derived.table(spark, sf, "nation").select("n_regionkey", "n_nationkey").collect()
+    n = 5 + max(r.n_nationkey for r in rows) + 1
+    arcs = [[(5 + r.n_nationkey, r.n_nationkey, r.n_nationkey / 10.0) for r in rows if r.n_regionkey == s] for s in range(n)]
+    auto = make.int_automaton(spark, TROPICAL, arcs, [0.0 if s < 5 else float("inf") for s in range(n)], [float("inf") if s < 5 else 0.0 for s in range(n)])
     return auto.edges().select("src", "dst", F.col("ilabel").alias("label"), "weight")
 
 
@@ -201,10 +230,10 @@ def union(spark, sf):
     return both.arcs.select(F.col("src.side").alias("side"), F.col("src.s").alias("src"), F.col("dst.s").alias("dst"), "ilabel", "olabel", rounded())
 
 
-@query("union_cost", "SELECT 'hello' AS auto_id, 2.0::DOUBLE AS weight")
+@query("union_cost", "SELECT p_name AS auto_id, round(2.0::DOUBLE * count(*), 6) AS weight FROM part GROUP BY p_name")
 def union_cost(spark, sf):
-    one = make.constant(spark, "hello", 1.0, PROBABILITY, "hello")
-    return (one | one).cost().select("auto_id", rounded())
+    names = derived.weighted_names(spark, sf)
+    return (names | names).cost().select("auto_id", rounded())
 
 
 # Aggregates ------------------------------------------------------------------------------------------------------------
@@ -365,33 +394,36 @@ def intersect_chain(spark, sf):
     return both.arcs.select("auto_id", F.col("src.l").alias("src"), F.col("dst.l").alias("dst"), F.col("ilabel").alias("label"))
 
 
-def seven(spark: SparkSession) -> tuple[Automaton, Automaton]:
-    a = make.transducer(spark, BOOLEAN, {0: True}, {4: True}, [make.arc(0, 1, "a", True, "a"), make.arc(1, 2, "b", True, ""), make.arc(2, 3, "c", True, ""), make.arc(3, 4, "d", True, "d")])
-    b = make.transducer(spark, BOOLEAN, {0: True}, {3: True}, [make.arc(0, 1, "a", True, "d"), make.arc(1, 2, "", True, "e"), make.arc(2, 3, "d", True, "a")])
-    return a, b
+def silent_users(spark: SparkSession, sf: str) -> tuple[Automaton, Automaton]:
+    """Chains of roles that write nothing where the user speaks, and a copier of one state that reads what is written."""
+    chain = make.chains(derived.conversation_steps(spark, sf), PROBABILITY)
+    left = chain.with_arcs(chain.arcs.withColumn("olabel", F.when(F.col("ilabel") == "user", F.lit("")).otherwise(F.col("olabel"))).withColumn("weight", F.lit(0.5)))
+    roles = [r for r in letters_of(spark, sf, "conversations", "role") if r != "user"]
+    copier = make.transducer(spark, PROBABILITY, {0: 1.0}, {0: 1.0}, [make.arc(0, 0, r, 0.25, r.upper()) for r in roles])
+    return left, Automaton(copier.arcs, copier.initial, copier.final, PROBABILITY, shared=True)
 
 
-SEVEN = "(0,0,0,1,1,0,'a','d'), (1,1,0,2,1,1,'b',''), (1,1,0,1,2,2,'','e'), (1,1,0,2,2,0,'b','e'), (2,1,1,3,1,1,'c',''), (2,2,0,3,2,1,'c',''), (3,2,1,4,3,0,'d','a')"
+SILENT = f"""WITH {CV}, st AS (SELECT auto_id, pos, label, coalesce(lag(label) OVER (PARTITION BY auto_id ORDER BY pos), '') AS prev FROM cv),
+sa AS (SELECT auto_id, CAST(pos AS BIGINT) AS sl, CAST(0 AS BIGINT) AS sr, CAST(prev = 'user' AS TINYINT) AS se, CAST(pos + 1 AS BIGINT) AS dl, CAST(0 AS BIGINT) AS dr, CAST(label = 'user' AS TINYINT) AS de, label AS ilabel, CASE WHEN label = 'user' THEN '' ELSE upper(label) END AS olabel FROM st)"""
 
 
-@query("compose_epsilon", f"SELECT CAST(a AS BIGINT) AS sl, CAST(b AS BIGINT) AS sr, CAST(c AS TINYINT) AS se, CAST(d AS BIGINT) AS dl, CAST(e AS BIGINT) AS dr, CAST(f AS TINYINT) AS de, g AS ilabel, h AS olabel FROM (VALUES {SEVEN}) v(a, b, c, d, e, f, g, h)")
+@query("compose_epsilon", f"{SILENT} SELECT * FROM sa")
 def compose_epsilon(spark, sf):
-    a, b = seven(spark)
-    return (a >> b).arcs.select(*[F.col(f"{s}.{c}").alias(f"{s[0]}{c}") for s in ("src", "dst") for c in "lre"], "ilabel", "olabel")
+    a, b = silent_users(spark, sf)
+    return (a >> b).arcs.select("auto_id", *[F.col(f"{s}.{c}").alias(f"{s[0]}{c}") for s in ("src", "dst") for c in "lre"], "ilabel", "olabel")
 
 
-@query("compose_dense", f"SELECT CAST(c + 3 * (a + 5 * b) AS BIGINT) AS src, CAST(f + 3 * (d + 5 * e) AS BIGINT) AS dst, g AS ilabel, h AS olabel FROM (VALUES {SEVEN}) v(a, b, c, d, e, f, g, h)")
+@query("compose_dense", f"{SILENT} SELECT auto_id, CAST(se + 3 * (sl + 1000 * sr) AS BIGINT) AS src, CAST(de + 3 * (dl + 1000 * dr) AS BIGINT) AS dst, ilabel, olabel FROM sa")
 def compose_dense(spark, sf):
-    a, b = seven(spark)
-    return compose(a, b, composer=dense_composer(5)).arcs.select("src", "dst", "ilabel", "olabel")
+    a, b = silent_users(spark, sf)
+    return compose(a, b, composer=dense_composer(1000)).arcs.select("auto_id", "src", "dst", "ilabel", "olabel")
 
 
-@query("compose_weigh", "SELECT CAST(1 AS BIGINT) AS n, 2.5::DOUBLE AS weight")
+@query("compose_weigh", f"{SILENT} SELECT ilabel, CASE WHEN ilabel = 'user' THEN 1.5 ELSE 0.75 END::DOUBLE AS weight, count(*) AS n FROM sa GROUP BY ilabel")
 def compose_weigh(spark, sf):
-    a = make.transducer(spark, PROBABILITY, {0: 1.0}, {1: 1.0}, [make.arc(0, 1, "a", 2.0, "b")])
-    b = make.transducer(spark, PROBABILITY, {0: 1.0}, {1: 1.0}, [make.arc(0, 1, "b", 0.5, "c")])
-    both = compose(a, b, weigh=lambda i, m, o, x, y: F.when(m == "b", x + y).otherwise(F.lit(0.0)))
-    return both.arcs.agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+    a, b = silent_users(spark, sf)
+    both = compose(a, b, weigh=lambda i, m, o, x, y: x + y)
+    return both.arcs.groupBy("ilabel", "weight").agg(F.count("*").alias("n"))
 
 
 # Edit distance ---------------------------------------------------------------------------------------------------------
@@ -407,21 +439,27 @@ def edit_distance_trop(spark, sf):
     return total.join(pairs, "auto_id").select("a", "b", F.col("weight").cast("long").alias("distance"))
 
 
-@query("edit_distance_mass", "SELECT 'abc' AS auto_id, 0.0::DOUBLE AS weight")
+@query("edit_distance_mass", "SELECT o_orderpriority AS auto_id, round(ln(count(*) / count(*)), 6) + 0.0::DOUBLE AS weight FROM orders GROUP BY o_orderpriority")
 def edit_distance_mass(spark, sf):
-    text = make.constant(spark, "abc", 0.0, LOG, "abc")
-    return (make.edit_distance(spark, -3.0, -4.0, "abc") >> text).cost().select("auto_id", rounded())
+    """All inputs together have a mass of one for any output, here for each order priority."""
+    texts = derived.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("t")).distinct()
+    steps = make.spelled(texts, "t", "t")
+    letters = [r[0] for r in steps.select("label").distinct().collect()]  # an alphabet
+    return (make.edit_distance(spark, -3.0, -4.0, letters) >> make.chains(steps, LOG)).cost().select("auto_id", rounded())
 
 
-@query("edit_distance_logsum", """WITH RECURSIVE k AS (SELECT 1 / (2 * exp(-3.0::DOUBLE) + 1 + 4 * exp(-4.0::DOUBLE)) AS m), w(a, b) AS (VALUES ('abc', 'acb'), ('a', 'abc'), ('cab', 'cab'), ('b', 'c')),
+@query("edit_distance_logsum", """WITH RECURSIVE al AS (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(string_split(r_name, '')) AS x FROM region)), k AS (SELECT 1 / ((n - 1) * exp(-3.0::DOUBLE) + 1 + (n + 1) * exp(-4.0::DOUBLE)) AS m, n FROM al),
+w AS (SELECT a.r_name AS a, b.r_name AS b FROM region a, region b),
 p(a, b, i, j, v) AS (SELECT a, b, 0, 0, 1.0::DOUBLE FROM w UNION ALL
 SELECT a, b, i + d.di, j + d.dj, v * (SELECT m FROM k) * CASE WHEN d.di + d.dj = 1 THEN exp(-4.0::DOUBLE) WHEN substr(a, i + 1, 1) = substr(b, j + 1, 1) THEN 1.0 ELSE exp(-3.0::DOUBLE) END
 FROM p, (VALUES (0, 1), (1, 0), (1, 1)) d(di, dj) WHERE i + d.di <= length(a) AND j + d.dj <= length(b))
-SELECT a || '|' || b AS auto_id, round(ln(sum(v) * (1 - 3 * exp(-4.0::DOUBLE) * (SELECT m FROM k))), 6) + 0.0::DOUBLE AS weight FROM p WHERE i = length(a) AND j = length(b) GROUP BY a, b""")
+SELECT a || '|' || b AS auto_id, round(ln(sum(v) * (1 - (SELECT n FROM k) * exp(-4.0::DOUBLE) * (SELECT m FROM k))), 6) + 0.0::DOUBLE AS weight FROM p WHERE i = length(a) AND j = length(b) GROUP BY a, b""")
 def edit_distance_logsum(spark, sf):
-    pairs = spark.createDataFrame([("abc", "acb"), ("a", "abc"), ("cab", "cab"), ("b", "c")], "a string, b string").withColumn("auto_id", F.concat_ws("|", "a", "b"))
+    names = derived.table(spark, sf, "region").select(F.col("r_name").alias("a"))
+    pairs = names.crossJoin(names.withColumnRenamed("a", "b")).withColumn("auto_id", F.concat_ws("|", "a", "b"))  # the five regions with themselves
     side = lambda c: make.chains(make.spelled(pairs, "auto_id", c), LOG)
-    return (side("a") >> make.edit_distance(spark, -3.0, -4.0, "abc") >> side("b")).cost().select("auto_id", rounded())
+    letters = [r[0] for r in make.spelled(names, "a", "a").select("label").distinct().collect()]  # an alphabet
+    return (side("a") >> make.edit_distance(spark, -3.0, -4.0, letters) >> side("b")).cost().select("auto_id", rounded())
 
 
 # Expected counts -------------------------------------------------------------------------------------------------------
@@ -496,6 +534,16 @@ def remove_epsilons(spark, sf):
     return make.chains(steps, PROBABILITY).remove_epsilons().arcs.select("auto_id", "src", "dst", F.col("ilabel").alias("label"))
 
 
+@query("remove_epsilon_cycles", f"""WITH {RT}, rs AS (SELECT ro.c, l, sum(w) AS s FROM ro JOIN rl ON ro.c = rl.c GROUP BY ro.c, l)
+SELECT 'c' || c AS state, round(l * s, 6) + 0.0::DOUBLE AS weight FROM rs UNION ALL SELECT 'o' || o, round(1 + r * l * s, 6) + 0.0::DOUBLE FROM ro JOIN rs ON ro.c = rs.c
+UNION ALL SELECT 'n' || n || ' c' || c, round(w, 6) + 0.0::DOUBLE FROM rk""")
+def remove_epsilon_cycles(spark, sf):
+    """Customers and orders in cycles of empty labels: what is left are the arcs from nations, and final weights."""
+    auto = derived.returns(spark, sf)
+    quiet = auto.with_arcs(auto.arcs.withColumn("ilabel", F.when(F.col("src").startswith("n"), F.col("ilabel")).otherwise(F.lit(""))).withColumn("olabel", F.col("ilabel"))).remove_epsilons()
+    return quiet.final.select("state", rounded()).unionByName(quiet.arcs.select(F.concat_ws(" ", "src", "dst").alias("state"), rounded()))
+
+
 def shape(auto: Automaton, weights: bool = False) -> DataFrame:
     """What a graph's states' names don't matter to: arcs by label (and weight), final states and states."""
     auto = Automaton(auto.arcs, auto.initial, auto.final, auto.ring)
@@ -553,10 +601,18 @@ def kbest_uniform(spark, sf):
     return k_best(derived.layers(spark, sf, TROPICAL), 10, heuristic=uniform).select("rank", F.array_join("labels", "|").alias("labels"), rounded(digits=9))
 
 
-@query("kbest_union", "SELECT CAST(i AS INT) AS rank, t AS text, CAST(w AS DOUBLE) AS weight FROM (VALUES (1, 'Hello', 1.0), (2, 'HellX', 0.2), (3, 'GoodBye', 0.1)) v(i, t, w)")
+@query("kbest_union", "SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, p_name) AS INT) AS rank, p_name AS text, count(*)::DOUBLE AS weight FROM part GROUP BY p_name QUALIFY rank <= 3")
 def kbest_union(spark, sf):
-    a, b, c = (make.constant(spark, t, w, PROBABILITY) for t, w in (("Hello", 1.0), ("HellX", 0.2), ("GoodBye", 0.1)))
-    return k_best((a | b).relabel() | c, 3).select("rank", "text", rounded())
+    """The commonest part names, as paths of the union of their chains."""
+    return k_best(batch_union(derived.weighted_names(spark, sf)), 3).select("rank", "text", rounded())
+
+
+@query("kbest_resumed", f"WITH {LY} " + BEST.format(key="prob", order="DESC"))
+def kbest_resumed(spark, sf):
+    """The four best paths, and then the next six."""
+    search = BestPaths(derived.layers(spark, sf))
+    found = search.next(4).unionByName(search.next(6))
+    return found.select("rank", F.array_join("labels", "|").alias("labels"), rounded(digits=9))
 
 
 @query("dot_lines", f"""WITH {CV}, z AS (SELECT auto_id, max(pos) + 1 AS n FROM cv GROUP BY 1) SELECT auto_id, 0 AS kind, '"' || pos || '"->"' || (pos + 1) || '"[label="' || label || '/1.0"]' AS line FROM cv
