@@ -31,10 +31,12 @@ def encoder(path: str):
 
 @functools.lru_cache(maxsize=4)
 def other_encoder(path: str):
-    """The same vocabulary in the tokenizers library, from the file beside it."""
+    """The same vocabulary in the tokenizers library, from the file beside it; here too special tokens' strings are ordinary text."""
     import tokenizers
 
-    return tokenizers.Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+    made = tokenizers.Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+    made.encode_special_tokens = True
+    return made
 
 
 def ids_of(path: str, text: str) -> np.ndarray:

@@ -130,3 +130,13 @@ def test_html_broken_tags():
         began = time.time()
         Page(source)
         assert time.time() - began < 3, source[:20]
+
+
+def test_special_strings_are_text_in_both_encoders():
+    """A run of blanks that only the second encoder takes doesn't change what else is in the text."""
+    from arcloom.llm.bpe import encoder, ids_of, other_encoder, public_file
+
+    path, special = public_file("byte_bpe_50k.tiktoken"), "<|endoftext|>"
+    plain = encoder(path).encode(special, disallowed_special=())
+    assert len(plain) > 1 and other_encoder(path).encode(special, add_special_tokens=False).ids == plain
+    assert ids_of(path, special + "x" + " " * 1_200_000 + "y").tolist()[: len(plain)] == plain
