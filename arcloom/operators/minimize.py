@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import Semiring
 from arcloom.plans.iterate import Replaced, Steps, settled
 from arcloom.sources.automaton import ARCS, STATES, Automaton
 
+from .project import numbered, relabel
 from .reach import accessible_states, restricted
 
 #: A partitioner gives the form of a weight that a block's states must share.
@@ -28,29 +29,61 @@ def approximate(digits: int = 6) -> Partitioner:
     return lambda ring, weight: ring.rounded(weight, digits)
 
 
-def minimize(auto: Automaton, partitioner: Partitioner = identical, max_rounds: int = 10_000) -> Automaton:
+@dataclass(frozen=True)
+class Closeness:
+    """A partitioner that needs all weights: those are of one class that neighbours in order, none more than tolerance from the next, lead
+    between. Unlike on a grid, weights that close never part, wherever they lie."""
+
+    tolerance: float = 1e-6
+
+
+def close_classes(values: DataFrame, tolerance: float) -> DataFrame:
+    """(auto_id, weight, least) of the distinct weights in values (auto_id, weight), least being the smallest of each one's class.
+
+    Weights are numbered by a range sort; each that lies within tolerance of the one before points to it, and pointers jump to the
+    class's first in a logarithm of its size."""
+    order = settled(numbered(values.select("auto_id", F.col("weight").alias("state")).distinct()).withColumnRenamed("state", "weight"))
+    before = order.select("auto_id", (F.col("n") + 1).alias("n"), F.col("weight").alias("before"))
+    linked = F.coalesce((F.col("weight") == F.col("before")) | (F.col("weight") - F.col("before") <= tolerance), F.lit(False))
+    pointers = order.join(before, ["auto_id", "n"], "left").select("auto_id", "n", F.when(linked, F.col("n") - 1).otherwise(F.col("n")).alias("at"), linked.alias("moved"))
+    table = Replaced(pointers, F.col("moved"))
+    while table.n:
+        p, q = table.rows.alias("p"), table.rows.alias("q")
+        both = p.join(q, (F.col("p.auto_id") == F.col("q.auto_id")) & (F.col("p.at") == F.col("q.n")))
+        table.put(both.select("p.auto_id", "p.n", "q.at", (F.col("q.at") < F.col("p.at")).alias("moved")))
+    least = order.select("auto_id", F.col("n").alias("at"), F.col("weight").alias("least"))
+    return order.join(table.rows.drop("moved"), ["auto_id", "n"]).join(least, ["auto_id", "at"]).select("auto_id", "weight", "least")
+
+
+def minimize(auto: Automaton, partitioner: Partitioner | Closeness = identical, max_rounds: int = 10_000) -> Automaton:
     """States that no string of labels and weights tells apart, merged; numbered from 0 in each automaton.
 
     A worklist of blocks: only what arcs sum to by label and by block that has split in the last round is looked at, so only states
     with arcs into such blocks can be told apart anew. A block's largest part keeps its name, the others get names of
     their own, and all of its parts are looked at in the next round; it ends when no block splits. For an automaton with several
     arcs of one label this is a bisimulation. Push weights first for the smallest result."""
-    from .project import relabel
-
     ring = auto.ring
+
+    def formed(df: DataFrame) -> DataFrame:
+        """df with the form of its weight."""
+        if not isinstance(partitioner, Closeness):
+            return df.withColumn("form", partitioner(ring, F.col("weight")))
+        df = settled(df)
+        return df.join(close_classes(df, partitioner.tolerance).withColumnRenamed("least", "form"), ["auto_id", "weight"])
+
     own = restricted(auto, settled(accessible_states(auto)))
     states, arcs = settled(own.arc_states()), settled(own.arcs)
     keys = ["auto_id", "state"]
     weighed = states.join(own.final, keys, "left").withColumn("weight", F.coalesce("weight", ring.lit(ring.zero)))
-    first = F.sha2(F.coalesce(partitioner(ring, F.col("weight")).cast("string"), F.lit("-")), 256)
-    table = Replaced(weighed.select(*keys, first.alias("block"), F.lit(True).alias("split")), F.col("split"))
+    first = F.sha2(F.coalesce(F.col("form").cast("string"), F.lit("-")), 256)
+    table = Replaced(formed(weighed).select(*keys, first.alias("block"), F.lit(True).alias("split")), F.col("split"))
     steps = Steps(max_rounds, "a minimization")
     while table.n:
         steps.next()
         to = table.rows.filter("split").select("auto_id", F.col("state").alias("dst"), F.col("block").alias("to"))
         sums = ring.sum(arcs.join(to, ["auto_id", "dst"]), ["auto_id", "src", "ilabel", "olabel", "to"])
-        item = F.struct("ilabel", "olabel", "to", partitioner(ring, F.col("weight")).alias("w"))
-        arms = sums.filter(~ring.is_zero(F.col("weight"))).groupBy("auto_id", F.col("src").alias("state")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(item))), 256).alias("arms"))
+        item = F.struct("ilabel", "olabel", "to", F.col("form").alias("w"))
+        arms = formed(sums.filter(~ring.is_zero(F.col("weight")))).groupBy("auto_id", F.col("src").alias("state")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(item))), 256).alias("arms"))
         seen = table.rows.drop("split").join(arms, keys, "left").withColumn("arms", F.coalesce("arms", F.lit("")))
         parts = seen.groupBy("auto_id", "block", "arms").agg(F.count("*").alias("n"))
         most = parts.groupBy("auto_id", "block").agg(F.max(F.struct("n", "arms")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")

@@ -15,7 +15,7 @@ from arcloom.operators.compose import compose, dense_composer
 from arcloom.operators.counts import chain_counts, expected_counts
 from arcloom.operators.distance import Distances, all_pairs, all_path_distances, by_all_pairs, by_residuals
 from arcloom.operators.kbest import BestPaths, k_best, uniform
-from arcloom.operators.minimize import approximate
+from arcloom.operators.minimize import Closeness, approximate, close_classes
 from arcloom.operators.output import dot_lines, equal
 from arcloom.operators.reach import is_cyclic, trim
 from arcloom.operators.setops import batch_union
@@ -584,6 +584,29 @@ def minimize_approx(spark, sf):
     return trie.minimize(partitioner=approximate(2)).arc_states().agg(F.count("*").alias("n_states"))
 
 
+@query("weight_classes", """WITH w AS (SELECT DISTINCT o_totalprice / 1e6::DOUBLE AS w FROM orders), g AS (SELECT w, w - lag(w) OVER (ORDER BY w) AS gap FROM w), c AS (SELECT w, sum(CASE WHEN gap <= 5e-6 THEN 0 ELSE 1 END) OVER (ORDER BY w) AS k FROM g)
+SELECT round(w, 9) AS weight, round(min(w) OVER (PARTITION BY k), 9) AS least FROM c""")
+def weight_classes(spark, sf):
+    """The orders' weights in classes of closeness."""
+    weights = derived.table(spark, sf, "orders").select(F.lit("a").alias("auto_id"), (F.col("o_totalprice") / 1e6).alias("weight"))
+    return close_classes(weights, 5e-6).select(rounded(digits=9), rounded("least", 9))
+
+
+@query("minimize_close", """WITH c AS (SELECT c_mktsegment AS label, 'c' || c_custkey AS s, (c_custkey % 10 + 1) / 10.0::DOUBLE + (c_custkey % 4) * 0.008::DOUBLE AS f FROM customer), d AS (SELECT f, f - lag(f) OVER (ORDER BY f) AS gap FROM (SELECT DISTINCT f FROM c)),
+k AS (SELECT f, sum(CASE WHEN gap <= 0.01 THEN 0 ELSE 1 END) OVER (ORDER BY f) AS k FROM d), m AS (SELECT label, s, c.f, k.k FROM c JOIN k ON c.f = k.f), r AS (SELECT k, arg_min(f, s) AS f FROM m GROUP BY k)
+SELECT label, round(r.f, 6) AS final, count(*)::DOUBLE AS weight FROM m JOIN r ON m.k = r.k GROUP BY label, r.k, r.f""")
+def minimize_close(spark, sf):
+    """Customers after one start, merged where their final weights are close."""
+    customer = derived.table(spark, sf, "customer")
+    key = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    arcs = customer.select(F.lit("start").alias("src"), key.alias("dst"), F.col("c_mktsegment").alias("ilabel"), F.lit(1.0).alias("weight"))
+    final = customer.select(key.alias("state"), ((F.col("c_custkey") % 10 + 1) / 10.0 + (F.col("c_custkey") % 4) * 0.008).alias("weight"))
+    start = arcs.select(F.col("src").alias("state"), "weight").distinct()
+    small = make.from_frames(arcs, start, final, PROBABILITY).minimize(partitioner=Closeness(0.01))
+    ends = small.final.select("auto_id", F.col("state").alias("dst"), F.round("weight", 6).alias("final"))
+    return small.arcs.join(ends, ["auto_id", "dst"]).select(F.col("ilabel").alias("label"), "final", rounded())
+
+
 # K best, output --------------------------------------------------------------------------------------------------------
 
 
