@@ -39,6 +39,24 @@ def dense_composer(left_size: int) -> StateComposer:
     )
 
 
+def explored(start: DataFrame, grown: Callable[[DataFrame], DataFrame], max_steps: int, what: str) -> tuple[DataFrame, DataFrame | None]:
+    """The states (auto_id, state) that are reached from start, and their arcs, which grown gives for each step's new states; None
+    for the arcs where there is no start."""
+    front, fresh = counted(start.select("auto_id", "state").distinct())
+    seen, made, steps = Growing(front), None, Steps(max_steps, what)
+    while fresh:
+        steps.next()
+        arcs = settled(grown(front))
+        if made is None:
+            made = Growing(arcs)
+        else:
+            made.add(arcs)
+        after = arcs.select("auto_id", F.col("dst").alias("state")).distinct()
+        front, fresh = counted(after.join(seen.all(), ["auto_id", "state"], "left_anti"))
+        seen.add(front)
+    return seen.all(), None if made is None else made.all()
+
+
 def compose(left: Automaton, right: Automaton, weigh: Weigh | None = None, max_steps: int = 10_000, composer: StateComposer = STRUCTS) -> Automaton:
     """left's outputs joined with right's inputs; only the accessible part is made.
 
@@ -68,10 +86,8 @@ def compose(left: Automaton, right: Automaton, weigh: Weigh | None = None, max_s
 
     start = ends(left.initial, right.initial).select("auto_id", _state(F.col("l"), F.col("r"), NO_EPS).alias("state"), ring.times(F.col("wa"), F.col("wb")).alias("weight"))
     start = settled(start.filter(~ring.is_zero(F.col("weight"))))
-    front, fresh = counted(start.select("auto_id", "state").distinct())
-    seen, made, steps = Growing(front), None, Steps(max_steps, "a composition")
-    while fresh:
-        steps.next()
+
+    def grown(front: DataFrame) -> DataFrame:
         f = front.select("auto_id", "state", *of_state("state")).alias("f")
         fa = f.join(a_arcs, same("a_id", left) & (F.col("f.l") == F.col("a_src")))
         on = (F.col("f.r") == F.col("b_src")) & same("b_id", right)
@@ -81,14 +97,10 @@ def compose(left: Automaton, right: Automaton, weigh: Weigh | None = None, max_s
         alone = alone.select("f.auto_id", F.col("f.state").alias("src"), _state(F.col("a_dst"), F.col("f.r"), LEFT_EPS).alias("dst"), F.col("a_in").alias("ilabel"), eps.alias("olabel"), weigh(F.col("a_in"), eps, eps, F.col("a_w"), one).alias("weight"))
         other = f.join(b_arcs, on & (F.col("b_in") == eps)).filter(F.col("f.e") != LEFT_EPS)
         other = other.select("f.auto_id", F.col("f.state").alias("src"), _state(F.col("f.l"), F.col("b_dst"), RIGHT_EPS).alias("dst"), eps.alias("ilabel"), F.col("b_out").alias("olabel"), weigh(eps, eps, F.col("b_out"), one, F.col("b_w")).alias("weight"))
-        arcs = settled(together([pairs, alone, other]).select(*ARCS))
-        made = Growing(arcs) if made is None else made
-        if made.parts[-1] is not arcs:
-            made.add(arcs)
-        after = arcs.select("auto_id", F.col("dst").alias("state")).distinct()
-        front, fresh = counted(after.join(seen.all(), ["auto_id", "state"], "left_anti"))
-        seen.add(front)
-    states = seen.all().select("auto_id", "state", *of_state("state")).alias("f")
+        return together([pairs, alone, other]).select(*ARCS)
+
+    seen, made = explored(start, grown, max_steps, "a composition")
+    states = seen.select("auto_id", "state", *of_state("state")).alias("f")
     fa = left.final.select(F.col("auto_id").alias("a_id"), F.col("state").alias("a_state"), F.col("weight").alias("a_w"))
     fb = right.final.select(F.col("auto_id").alias("b_id"), F.col("state").alias("b_state"), F.col("weight").alias("b_w"))
     done = states.join(fa, same("a_id", left) & (F.col("f.l") == F.col("a_state"))).join(fb, same("b_id", right) & (F.col("f.r") == F.col("b_state")))
@@ -96,8 +108,8 @@ def compose(left: Automaton, right: Automaton, weigh: Weigh | None = None, max_s
     if made is None:  # no initial states: no arcs either
         none = start.select("auto_id", F.col("state").alias("src"), F.col("state").alias("dst"))
         labels = [F.lit(None).cast(a.schema[c].dataType).alias(c) for a, c in ((left.arcs, "ilabel"), (right.arcs, "olabel"))]
-        made = Growing(none.select("*", *labels, one.alias("weight")))
-    return replace(left, arcs=made.all(), initial=start.select(*STATES), final=final.filter(~ring.is_zero(F.col("weight"))).select(*STATES), shared=left.shared and right.shared, reachable_only=True)
+        made = none.select("*", *labels, one.alias("weight"))
+    return replace(left, arcs=made, initial=start.select(*STATES), final=final.filter(~ring.is_zero(F.col("weight"))).select(*STATES), shared=left.shared and right.shared, reachable_only=True)
 
 
 def intersect(left: Automaton, right: Automaton, max_steps: int = 10_000) -> Automaton:

@@ -13,15 +13,18 @@ from arcloom.operators.collapse import neighbour_distances
 from arcloom.operators.components import components
 from arcloom.operators.compose import compose, dense_composer
 from arcloom.operators.counts import chain_counts, expected_counts
+from arcloom.operators.dense import block_distances, dense_blocks
 from arcloom.operators.distance import Distances, all_pairs, all_path_distances, by_all_pairs, by_residuals
+from arcloom.operators.generated import arcs_on_demand, compose_generated
 from arcloom.operators.kbest import BestPaths, k_best, uniform
 from arcloom.operators.minimize import Closeness, approximate, close_classes
-from arcloom.operators.output import dot_lines, equal
+from arcloom.operators.output import dot_lines, equal, fingerprint
 from arcloom.operators.reach import is_cyclic, trim
 from arcloom.operators.setops import batch_union
 from arcloom.sources import constructors as make
 from arcloom.sources import derived
-from arcloom.sources.automaton import Automaton
+from arcloom.sources.automaton import TEXT, Automaton
+from arcloom.sources.generators import any_lengths, edits_to
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -375,6 +378,15 @@ def all_pairs_cycles(spark, sf):
 # Joins -----------------------------------------------------------------------------------------------------------------
 
 
+@query("all_pairs_dense", f"""WITH {LY}, st AS (SELECT src AS s FROM ly UNION SELECT dst FROM ly UNION SELECT 'r' || r_regionkey FROM region UNION SELECT 'c' || c_custkey FROM customer),
+tw AS (SELECT a.src, b.dst, a.w * b.w AS w FROM ly a JOIN ly b ON a.dst = b.src),
+al AS (SELECT s AS src, s AS dst, 1.0::DOUBLE AS w FROM st UNION ALL SELECT src, dst, w FROM ly UNION ALL SELECT * FROM tw UNION ALL SELECT a.src, b.dst, a.w * b.w FROM tw a JOIN ly b ON a.dst = b.src)
+SELECT src, dst, round(sum(w), 12) + 0.0::DOUBLE AS weight FROM al GROUP BY src, dst""")
+def all_pairs_dense(spark, sf):
+    """All pairs of the whole layered graph, with its orders, by products of blocks."""
+    return block_distances(dense_blocks(derived.layers(spark, sf))).select("src", "dst", rounded(digits=12))
+
+
 @query("compose_chain", "WITH nm AS (SELECT DISTINCT p_name FROM part) SELECT p_name AS auto_id, CAST(i - 1 AS BIGINT) AS src, CAST(i AS BIGINT) AS dst, substr(p_name, i, 1) AS ilabel, upper(substr(p_name, i, 1)) AS olabel, 0.5::DOUBLE AS weight FROM nm, generate_series(1, 12) g(i) WHERE i <= length(p_name)")
 def compose_chain(spark, sf):
     steps = derived.name_steps(spark, sf)
@@ -439,6 +451,37 @@ def edit_distance_trop(spark, sf):
     return total.join(pairs, "auto_id").select("a", "b", F.col("weight").cast("long").alias("distance"))
 
 
+@query("generated_edits", "WITH t AS (SELECT DISTINCT p_name AS x FROM part) SELECT a.x AS a, b.x AS b, CAST(levenshtein(a.x, b.x) AS BIGINT) AS distance FROM t a JOIN t b ON levenshtein(a.x, b.x) <= 3")
+def generated_edits(spark, sf):
+    """Each part name with the names at most three edits away. Only names of near lengths meet; edits' arcs are made on demand."""
+    names = derived.table(spark, sf, "part").select(F.col("p_name").alias("auto_id"), F.char_length("p_name").alias("n")).distinct()
+    words = names.select(F.col("auto_id").alias("word"), F.explode(F.sequence(F.col("n") - 3, F.col("n") + 3)).alias("n"))
+    made = compose_generated(make.chains(derived.name_steps(spark, sf), TROPICAL), edits_to(names.join(words, "n"), 3))
+    ends = all_path_distances(made).join(made.final.select("auto_id", "state"), ["auto_id", "state"])
+    return ends.groupBy(F.col("auto_id").alias("a"), F.col("state.r.word").alias("b")).agg(F.min("weight").cast("long").alias("distance"))
+
+
+@query("generated_arcs", f"""WITH {NM}, s AS (SELECT DISTINCT name, i AS place, substr(name, i + 1, 1) AS c FROM px WHERE i < length(name))
+SELECT name, place, place + 1 AS to_place, 0 AS edits, c AS ilabel, c AS olabel, 0.0::DOUBLE AS weight FROM s UNION ALL SELECT name, place, place, 1, c, '', 1.0 FROM s
+UNION ALL SELECT name, place, place + 1, 1, upper(c), c, 1.0 FROM s WHERE c <> upper(c) UNION ALL SELECT name, place, place, 1, upper(c), '', 1.0 FROM s WHERE c <> upper(c) UNION ALL SELECT name, place, place + 1, 1, '', c, 1.0 FROM s""")
+def generated_arcs(spark, sf):
+    """What leaves each place of each part name on its own letter, that letter's capital and no letter: arcs that no table lists."""
+    steps = derived.name_steps(spark, sf)
+    towards = edits_to(steps.select("auto_id", F.col("auto_id").alias("word")), 1)
+    labels = F.array_distinct(F.array("label", F.upper("label"), F.lit("")))
+    state = F.struct(F.col("auto_id").alias("word"), F.col("pos").cast("int").alias("at"), F.lit(0).alias("edits"))
+    arcs = arcs_on_demand(towards, steps.select("auto_id", state.alias("state"), F.explode(labels).alias("label")))
+    return arcs.select(F.col("auto_id").alias("name"), F.col("src.at").cast("long").alias("place"), F.col("dst.at").cast("long").alias("to_place"), F.col("dst.edits").alias("edits"), "ilabel", "olabel", "weight")
+
+
+@query("generated_decay", f"WITH {CV}, de AS (SELECT count(*) / count(DISTINCT conv_id)::DOUBLE AS e, count(DISTINCT role) AS n FROM conversations) SELECT auto_id, round(count(*) * (ln(e / (1 + e)) - ln(n)) + ln(1 / (1 + e)), 6) + 0.0::DOUBLE AS weight FROM cv, de GROUP BY auto_id, e, n")
+def generated_decay(spark, sf):
+    """The log probability of each conversation's chain of roles under geometric lengths, roles uniform."""
+    steps = derived.conversation_steps(spark, sf)
+    size = steps.agg(F.count_distinct("label")).first()[0]
+    return compose_generated(make.chains(steps, LOG, 0.0), any_lengths(spark, mean_length(steps), size)).cost().select("auto_id", rounded())
+
+
 @query("edit_distance_mass", "SELECT o_orderpriority AS auto_id, round(ln(count(*) / count(*)), 6) + 0.0::DOUBLE AS weight FROM orders GROUP BY o_orderpriority")
 def edit_distance_mass(spark, sf):
     """All inputs together have a mass of one for any output, here for each order priority."""
@@ -638,6 +681,23 @@ def kbest_resumed(spark, sf):
     return found.select("rank", F.array_join("labels", "|").alias("labels"), rounded(digits=9))
 
 
+@query("fingerprints", "WITH n AS (SELECT p_name, count(*) AS k FROM part GROUP BY p_name) SELECT a.p_name AS auto_id, (SELECT count(*) FROM n b WHERE b.k = a.k) AS alike FROM n a")
+def fingerprints(spark, sf):
+    """How many of the part names' automata have the same hash: it covers initial weights alone, so names of one count meet."""
+    own = fingerprint(derived.weighted_names(spark, sf))
+    return own.join(own.groupBy("hash").agg(F.count("*").alias("alike")), "hash").select("auto_id", "alike")
+
+
+@query("alphabet_pairs", "SELECT CASE WHEN s = '' THEN 'none' ELSE s || '/' || p END AS label, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS p FROM orders) GROUP BY 1")
+def alphabet_pairs(spark, sf):
+    """Orders by labels of a product alphabet, its empty label where both parts are empty."""
+    both = TEXT * TEXT
+    blank = lambda c: F.when(F.col("o_orderkey") % 5 == 0, TEXT.lit()).otherwise(F.col(c))
+    labels = derived.table(spark, sf, "orders").select(F.struct(blank("o_orderstatus").alias("left"), blank("o_orderpriority").alias("right")).alias("label"))
+    name = F.when(F.col("label") == both.lit(), F.lit("none")).otherwise(F.concat_ws("/", "label.left", "label.right"))
+    return labels.groupBy(name.alias("label")).agg(F.count("*").alias("n"))
+
+
 @query("dot_lines", f"""WITH {CV}, z AS (SELECT auto_id, max(pos) + 1 AS n FROM cv GROUP BY 1) SELECT auto_id, 0 AS kind, '"' || pos || '"->"' || (pos + 1) || '"[label="' || label || '/1.0"]' AS line FROM cv
 UNION ALL SELECT auto_id, 1, '"' || i || '"[label="' || i || CASE WHEN i = n THEN ' 1.0"' ELSE ' 0.0"' END || CASE WHEN i = 0 THEN ',style=bold' ELSE '' END || ']' FROM z, generate_series(0, 100) g(i) WHERE i <= n""")
 def dot(spark, sf):
