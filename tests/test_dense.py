@@ -1,39 +1,46 @@
-"""Products of blocks against paths counted one by one."""
+"""Products of blocks against sums over paths made one by one."""
 
 from __future__ import annotations
 
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from arcloom.functions.semiring import BOOLEAN, LOG, PROBABILITY, TROPICAL
+from arcloom.functions.semiring import BOOLEAN, PROBABILITY, TROPICAL
 from arcloom.operators.dense import block_distances, dense_blocks
-from arcloom.operators.distance import all_pairs
 from arcloom.sources import constructors as make
 
+N = 9
+
 
 def layered(spark, ring, weight):
     rng = random.Random(3)
-    arcs = [make.arc(f"s{i:02}", f"s{j:02}", "x", weight(rng)) for i in range(14) for j in range(i + 1, 14) if rng.random() < 0.3]
-    arcs += [make.arc("s00", "s13", "y", weight(rng)), make.arc("s00", "s13", "z", weight(rng))]  # parallel
-    return make.automaton(spark, ring, {"s00": ring.one, "lone": ring.one}, {"s13": ring.one}, arcs)
+    arcs = [(i, j, weight(rng)) for i in range(N) for j in range(i + 1, N) if rng.random() < 0.5] + [(0, N - 1, weight(rng))] * 2  # parallel
+    rows = [make.arc(i, j, str(k), w) for k, (i, j, w) in enumerate(arcs)]
+    return make.automaton(spark, ring, {0: ring.one, 99: ring.one}, {N - 1: ring.one}, rows), arcs
+
+
+def sums(ring, arcs):
+    found = {(s, s): ring.one for s in [*range(N), 99]}
+    for s in range(N):
+        for d in range(s + 1, N):
+            ways = [ring.times_(found[s, i], w) for i, j, w in arcs if j == d and (s, i) in found]
+            if ways:
+                found[s, d] = ring.total_(ways)
+    return found
 
 
-@pytest.mark.parametrize("ring", [PROBABILITY, TROPICAL, LOG, BOOLEAN])
-@pytest.mark.parametrize("size", [3, 128])
-def test_blocks_as_all_pairs(spark, ring, size):
-    weight = {"boolean": lambda r: True, "log": lambda r: -r.random()}.get(ring.name, lambda r: r.random())
-    auto = layered(spark, ring, weight)
-    rows = lambda df: {(r.src, r.dst): r.weight for r in df.collect()}
-    got, want = rows(block_distances(dense_blocks(auto, size))), rows(all_pairs(auto).filter(~ring.is_zero(F.col("weight"))))
-    assert got.keys() == want.keys() and len(want) > 40
-    assert ("lone", "lone") in got and all(ring.close_(got[k], want[k]) for k in got)
+@pytest.mark.parametrize("ring", [PROBABILITY, TROPICAL, BOOLEAN])
+def test_blocks_against_paths(spark, ring):
+    auto, arcs = layered(spark, ring, lambda r: True if ring.name == "boolean" else r.random())
+    got, want = {(r.src, r.dst): r.weight for r in block_distances(dense_blocks(auto, 4)).collect()}, sums(ring, arcs)
+    assert got.keys() == want.keys() and len(want) > 25
+    assert all(ring.close_(got[k], want[k]) for k in got)
 
 
 def test_cycles_raise_and_nothing_is_nothing(spark):
     loop = make.automaton(spark, PROBABILITY, {0: 1.0}, {0: 1.0}, [make.arc(0, 0, "a", 0.5)])
     with pytest.raises(RuntimeError):
-        block_distances(dense_blocks(loop), max_doublings=3)
+        block_distances(dense_blocks(loop), max_doublings=2)
     empty = loop.with_arcs(loop.arcs.filter("src > 5"))
     assert [(r.src, r.dst, r.weight) for r in block_distances(dense_blocks(empty)).collect()] == [(0, 0, 1.0)]
