@@ -33,12 +33,34 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"article", "aside", "body", "div", "dl", "footer", "form", "header", "html", "main", "nav", "ol", "section", "table", "td", "th", "ul"}
 OUTSIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "svg", "canvas", "audio", "video", "object", "dialog", "label"}
-OUTSIDE_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|overlay|comments?|disqus|respond|reply|replies|sidebar|widget|menu|nav\w*|breadcrumbs?|footer|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|skip)(?:$|[\s_-])", re.I)
+OUTSIDE_WORD = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|overlay|comments?|commentlist|disqus|respond|reply|replies|sidebar|widgets?|menu|nav\w*|breadcrumbs?|footer|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|skip")
+#: Words that may follow one of those in a compound name: a part of the page, not a subject.
+PART_WORD = re.compile(r"area|articles?|bar|blocks?|body|bottom|box|btn|buttons?|cards?|center|container|content|count|form|group|header|icons?|inner|items?|left|links?|list|main|module|outer|panel|posts?|region|right|row|section|slot|stories|strip|text|thread|title|toggle|top|unit|wrap|wrapper|\d+|\d+x\d+")
+#: Words with which a name tells what an element has or lacks beside it.
+BESIDE_WORD = {"has", "no", "with", "without"}
 OUTSIDE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog"}
 #: Pages of a host from which a text on all of them is taken for a part of its template.
 ALL_PAGES = 8
 
 
+def outside_name(classes: str, element_id: str) -> bool:
+    """Whether an element's classes or id name something other than the article.
+
+    A name does where one of its words is an outside word and what follows it says only which part of the page that is: share-buttons
+    does, share-price and notice-period don't. A class `discussion` holds reader comments; as an id it is a section of a paper."""
+    names = classes.lower().split()
+    for name in [*names, *element_id.lower().split()]:
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if BESIDE_WORD & set(words):
+            continue
+        for k in range(len(words) - 1, -1, -1):
+            if OUTSIDE_WORD.fullmatch(words[k]):
+                return True
+            if not PART_WORD.fullmatch(words[k]):
+                break
+    return "discussion" in names
+
+
 def host_of(url: str | None) -> str:
     found = re.match(r"[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", url or "")
     return found[1].lower() if found else ""
@@ -125,10 +147,9 @@ class Page:
             n += 1
             path = xxhash.xxh64_intdigest(label, seed=path & 0xFFFFFFFF)
             is_main = name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "") == "articleBody"
-            names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
             outside = outside or name in OUTSIDE or (name == "header" and not inside) or attributes.get("role", "").lower() in OUTSIDE_ROLE or "hidden" in re.split(r"[\s>]", QUOTED.sub("", tag)) or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
-            if not outside and name not in ("html", "body") and not is_main and names.strip():
-                outside = bool(OUTSIDE_WORD.search(names))
+            if not outside and name not in ("html", "body") and not is_main:
+                outside = outside_name(attributes.get("class", ""), attributes.get("id", ""))
             if is_main and not outside:
                 inside = self.has_main = True
             if len(stack) >= DEEPEST:
