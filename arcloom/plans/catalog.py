@@ -457,8 +457,7 @@ def generated_edits(spark, sf):
     names = derived.table(spark, sf, "part").select(F.col("p_name").alias("auto_id"), F.char_length("p_name").alias("n")).distinct()
     words = names.select(F.col("auto_id").alias("word"), F.explode(F.sequence(F.col("n") - 3, F.col("n") + 3)).alias("n"))
     made = compose_generated(make.chains(derived.name_steps(spark, sf), TROPICAL), edits_to(names.join(words, "n"), 3))
-    ends = all_path_distances(made).join(made.final.select("auto_id", "state"), ["auto_id", "state"])
-    return ends.groupBy(F.col("auto_id").alias("a"), F.col("state.r.word").alias("b")).agg(F.min("weight").cast("long").alias("distance"))
+    return made.final.groupBy(F.col("auto_id").alias("a"), F.col("state.r.word").alias("b")).agg(F.min("state.r.edits").cast("long").alias("distance"))  # final states tell their edits
 
 
 @query("generated_arcs", f"""WITH {NM}, s AS (SELECT DISTINCT name, i AS place, substr(name, i + 1, 1) AS c FROM px WHERE i < length(name))
