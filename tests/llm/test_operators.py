@@ -71,6 +71,14 @@ def test_sharding(docs, none, rows):
     assert shard_documents(docs.limit(2), n_shards=5).count() == 2
 
 
+def test_sharding_positions_do_not_depend_on_spans(docs, monkeypatch):
+    from arcloom.llm import sharding
+
+    out = sharding.shard_documents(docs, n_shards=7, least_buckets=50).collect()
+    monkeypatch.setattr(sharding, "SPAN", 3)
+    assert sorted(map(repr, sharding.shard_documents(docs, n_shards=7, least_buckets=50).collect())) == sorted(map(repr, out))
+
+
 def test_packing(docs, none, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
