@@ -6,8 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import Semiring
@@ -18,6 +18,8 @@ from .collapse import neighbour_distances
 from .project import numbered
 
 BLOCK = ["auto_id", "i", "j"]
+#: Cells that one row of a product's side holds, and up to a block's more.
+PANEL = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -51,40 +53,79 @@ def dense_blocks(auto: Automaton, size: int = 128) -> DenseBlocks:
     return DenseBlocks(settled(blocks), names, auto.ring, size)
 
 
+def _matched(ring: Semiring, a: list[np.ndarray], b: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and weights of the product of cells a (row, k, weight) and b (k, column, weight), 0 <= k < size. Where products are more
+    than the places they fall into, sums are taken in a matrix, k by k; else they are matched by k and given one by one."""
+    (rows, a_k, a_w), (b_k, columns, b_w) = a, b
+    order = np.argsort(b_k, kind="stable")
+    b_k, columns, b_w = b_k[order], columns[order], b_w[order]
+    begin = np.searchsorted(b_k, np.arange(size + 1))
+    times = np.diff(begin)[a_k]
+    if not times.sum():
+        return
+    own_rows, own_columns = np.unique(rows), np.unique(columns)
+    if len(own_rows) * len(own_columns) <= min(times.sum(), 1 << 22):
+        made = np.full((len(own_rows), len(own_columns)), ring.zero, dtype=b_w.dtype)
+        up, across = np.searchsorted(own_rows, rows), np.searchsorted(own_columns, columns)
+        for k in np.unique(a_k[times > 0]):
+            left, right = np.flatnonzero(a_k == k), slice(begin[k], begin[k + 1])
+            spot = np.ix_(up[left], across[right])
+            made[spot] = ring.plus_array(made[spot], ring.times_array(a_w[left][:, None], b_w[right][None, :]))
+        i, j = np.nonzero(made != ring.zero)
+        yield own_rows[i], own_columns[j], made[i, j]
+        return
+    cut = np.searchsorted(np.cumsum(times), np.arange(0, times.sum(), 1 << 18), side="right")
+    for x, y in zip(cut, [*cut[1:], len(times)], strict=True):
+        n = times[x:y]
+        left = np.repeat(np.arange(x, y), n)
+        right = np.arange(n.sum()) + np.repeat(begin[a_k[x:y]] - np.cumsum(n) + n, n)
+        yield rows[left], columns[right], ring.times_array(a_w[left], b_w[right])
+
+
 def _multiplied(ring: Semiring, size: int):
-    """Pairs of blocks to the cells of their products. A task holds a batch of pairs and some seventeen products of size * size at most."""
+    """Pairs of panels to the cells of their products."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = np.bool_ if ring.type == "boolean" else np.float64
-        for frame in frames:
-            made_here = []
-            for row in frame.itertuples(index=False):
-                a, b = (np.full((size, size), ring.zero, dtype=kind) for _ in "ab")
-                a.flat[row.a_cells], b.flat[row.b_cells] = row.a_weights, row.b_weights
-                made = np.full((size, size), ring.zero, dtype=kind)
-                for k in np.intersect1d(np.unique(row.a_cells % size), np.unique(row.b_cells // size)):
-                    up, down = np.flatnonzero(a[:, k] != ring.zero), np.flatnonzero(b[k] != ring.zero)
-                    spot = np.ix_(up, down)
-                    made[spot] = ring.plus_array(made[spot], ring.times_array(a[up, k][:, None], b[k, down][None, :]))
-                cells = np.flatnonzero(made.ravel() != ring.zero)
-                made_here.append(pd.DataFrame({"auto_id": row.auto_id, "i": row.i, "j": row.j, "cell": cells.astype(np.int32), "weight": made.ravel()[cells]}))
-                if sum(map(len, made_here)) > 16 * size * size:
-                    yield pd.concat(made_here)
-                    made_here = []
-            if made_here:
-                yield pd.concat(made_here)
+        values = lambda batch, c, x: batch.column(c)[x].values.to_numpy(zero_copy_only=False)
+        for batch in batches:
+            for x in range(batch.num_rows):
+                a = [values(batch, "a_far", x), values(batch, "a_near", x), values(batch, "a_weight", x).astype(kind)]
+                b = [values(batch, "b_near", x), values(batch, "b_far", x), values(batch, "b_weight", x).astype(kind)]
+                for r, c, w in _matched(ring, a, b, size):
+                    own = batch.column("auto_id").take(pa.array(np.full(len(r), x)))
+                    yield pa.RecordBatch.from_arrays([own, *map(pa.array, (r // size, c // size, (r % size * size + c % size).astype(np.int32), w))], names=["auto_id", "i", "j", "cell", "weight"])
 
     return run
 
 
+def _panels(blocks: DataFrame, size: int, p: str) -> DataFrame:
+    """(auto_id, k, p_far, p_near, p_weight): cells of blocks of one column k of blocks (p = a) or row k (b), near being their number in k. Nearly empty blocks
+    share a row of PANEL cells or so, so what they cost goes by their cells."""
+    k, far = ("j", "i") if p == "a" else ("i", "j")
+    order = Window.partitionBy("auto_id", k).orderBy(far).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row, column = (lambda c: F.call_function("div", c, F.lit(size))), (lambda c: c % size)
+    outer, inner = (row, column) if p == "a" else (column, row)
+    placed = blocks.select(
+        "auto_id",
+        F.col(k).alias("k"),
+        F.floor(F.sum(F.size("cells")).over(order) / PANEL).alias("panel"),
+        F.transform("cells", lambda c: F.col(far) * size + outer(c)).alias("far"),
+        F.transform("cells", lambda c: inner(c).cast("int")).alias("near"),
+        "weights",
+    )
+    whole = placed.groupBy("auto_id", "k", "panel").agg(F.collect_list(F.struct("far", "near", "weights")).alias("own"))
+    return whole.select("auto_id", "k", *[F.flatten(f"own.{c}").alias(f"{p}_{n}") for c, n in (("far", "far"), ("near", "near"), ("weights", "weight"))])
+
+
 def block_product(ring: Semiring, size: int, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(auto_id, i, j, cell, weight): left times right, a row for each cell of each pair of blocks; cells of one place are still to be summed."""
+    """(auto_id, i, j, cell, weight): left times right; cells of one place are still to be summed."""
     importable(left.sparkSession)
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks are few rows of much work: not to be put together
-    side = lambda df, near, far, p: df.select("auto_id", F.col(near).alias("k"), F.col(far).alias("j" if p == "b" else "i"), F.col("cells").alias(f"{p}_cells"), F.col("weights").alias(f"{p}_weights")).repartition(n, "auto_id", "k")
-    pairs = side(left, "j", "i", "a").join(side(right, "i", "j", "b"), ["auto_id", "k"]).select(*BLOCK, "a_cells", "a_weights", "b_cells", "b_weights")
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # panels are few rows of much work: not to be put together
+    side = lambda df, p: _panels(df, size, p).repartition(n, "auto_id", "k")
+    pairs = side(left, "a").join(side(right, "b"), ["auto_id", "k"])
     kind = left.schema["auto_id"].dataType.simpleString()
-    return pairs.mapInPandas(_multiplied(ring, size), f"auto_id {kind}, i long, j long, cell int, weight {ring.type}")
+    return pairs.mapInArrow(_multiplied(ring, size), f"auto_id {kind}, i long, j long, cell int, weight {ring.type}")
 
 
 def _cells(blocks: DataFrame) -> DataFrame:
