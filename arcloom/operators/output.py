@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arcloom.plans.iterate import settled
 from arcloom.sources.automaton import Automaton
 
 
@@ -42,8 +43,11 @@ def equal(a: Automaton, b: Automaton, digits: int | None = None) -> bool:
         x, y = x.distinct(), y.distinct()
         return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
-    ends = [z.final_weight(z.edges().select("auto_id", F.col("src").alias("state")).unionByName(z.edges().select("auto_id", F.col("dst").alias("state"))).unionByName(z.initial.select("auto_id", "state")).distinct()) for z in (a, b)]
-    return same(a.initial, b.initial) and same(a.edges(), b.edges()) and same(*ends)
+    if not same(a.initial, b.initial):
+        return False
+    edges = [settled(z.edges()) for z in (a, b)[: 1 if a is b else 2]]  # found once, for what follows reads them several times
+    ends = [z.final_weight(x.select("auto_id", F.col("src").alias("state")).unionByName(x.select("auto_id", F.col("dst").alias("state"))).unionByName(z.initial.select("auto_id", "state")).distinct()) for z, x in zip((a, b), edges)]
+    return same(edges[0], edges[-1]) and same(ends[0], ends[-1])
 
 
 def fingerprint(auto: Automaton) -> DataFrame:
