@@ -413,7 +413,7 @@ def score_documents(
     top: int = 255,
     tail_inputs: int = 64,
     turns: int = 3,
-    stride: int = 16,
+    stride: int = 3,
     rate: float = 0.03,
     part_bytes: int = 32 << 20,
     seed: int = 3,
@@ -427,7 +427,7 @@ def score_documents(
     the training texts have each word, and each beginning of a word that ids can make, is counted over all of them and comes
     back to the chunks that have it; ids and pairs of their classes (top outputs and one for the rest; inputs with
     tail_inputs for the rest) are counted as well. The attention weights are trained where the chunks are: in each turn on
-    another one in stride of the spans of all training documents (1: on all of them), with a window's own occurrence taken from the counts, and
+    another one in stride of the spans of all training documents (1: on all of them), by default on each span once over the turns, with a window's own occurrence taken from the counts, and
     averaged; so what they are trained on grows with the corpus. Every document is scored whole: each id once, in a window with at least LEAD ids before it where there
     are so many.
 
