@@ -199,7 +199,8 @@ def nearest(
     query_block queries, a query once for every block it searches, and a block gives k rows at most for each query.
 
     Rows with equal vectors are interchangeable but for their ids, so before the search no more than k + 1 of them, those with the
-    smallest ids, are kept: no answer needs another, and a vector that a third of the rows share costs a few rows. Rows
+    smallest ids, are kept: no answer needs another, and a vector that a third of the rows share costs a few rows. Queries are
+    all kept, however many have equal vectors, since each has an answer of its own. Rows
     whose vector is null, zero, of another dimension than most of the first rows or holds null or non-finite components take
     no part. Null ids take no part. A repeated id with one vector counts once; its other rows are never its own
     neighbours. With fewer candidates than k all are returned; an empty table gives no rows. Other columns are not read.
@@ -216,21 +217,26 @@ def nearest(
     quantizer = AdditiveQuantizer.fit(x, n_books, n_codes, beam, 3, seed)
     cells, most = quantizer.cells, k + 1
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, at = as_matrix(batch.column("v"), dim)
-            ids = batch.column("id").to_numpy()[at]
-            order = np.argsort(ids, kind="stable")
-            seen: dict[bytes, list[int]] = {}
-            keep = []
-            for i in order.tolist():
-                name = xxhash.xxh3_128_digest((flat[i] + 0.0).tobytes())
-                own = seen.setdefault(name, [])
-                if len(own) < most and (not own or own[-1] != ids[i]):
-                    own.append(ids[i])
-                    keep.append((i, name))
-            at = [i for i, _ in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([n for _, n in keep], pa.binary()), pa.array(list(flat[at]), pa.list_(pa.float64()))], names=["id", "name", "v"])
+    def distinct(most: int | None):
+        """Ids and vectors of the rows that take part, each once; of a batch's equal vectors the most smallest ids (None: all)."""
+
+        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat, at = as_matrix(batch.column("v"), dim)
+                ids = batch.column("id").to_numpy()[at]
+                order = np.argsort(ids, kind="stable")
+                seen: dict[bytes, list[int]] = {}
+                keep = []
+                for i in order.tolist():
+                    name = xxhash.xxh3_128_digest((flat[i] + 0.0).tobytes())
+                    own = seen.setdefault(name, [])
+                    if (most is None or len(own) < most) and (not own or own[-1] != ids[i]):
+                        own.append(ids[i])
+                        keep.append((i, name))
+                at = [i for i, _ in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([n for _, n in keep], pa.binary()), pa.array(list(flat[at]), pa.list_(pa.float64()))], names=["id", "name", "v"])
+
+        return take
 
     def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -258,11 +264,11 @@ def nearest(
             )
 
     with Scratch(spark) as scratch:
-        valid = rows.mapInArrow(distinct, "id long, name binary, v array<double>").dropDuplicates(["id", "name"])
+        valid = rows.mapInArrow(distinct(most), "id long, name binary, v array<double>").dropDuplicates(["id", "name"])
         first = Window.partitionBy("name").orderBy("id")
         valid = valid.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).drop("n")
         coded = scratch.written(valid.mapInArrow(encode, "id long, name binary, v array<double>, code binary, norm double, error double, mass double, cell int, far double"), "coded")
-        asked = scratch.written(rows.filter(F.col("id") % every == 0).mapInArrow(distinct, "id long, name binary, v array<double>").dropDuplicates(["id", "name"]), "queries")
+        asked = scratch.written(rows.filter(F.col("id") % every == 0).mapInArrow(distinct(None), "id long, name binary, v array<double>").dropDuplicates(["id", "name"]), "queries")
 
         count, radius = np.zeros(len(cells), np.int64), np.zeros(len(cells))
         for r in coded.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():  # at most n_codes rows

@@ -39,6 +39,17 @@ def test_many_rows(spark):
     assert found(spark, x, n_books=4, n_codes=64, every=500) == brute(x, range(0, 50_000, 500))
 
 
+def test_queries_of_one_vector(spark):
+    """More queries share a vector than rows of it are kept to be found: each still has its own answer."""
+    x = np.random.default_rng(6).standard_normal((600, 8))
+    x[::3] = x[0]
+    ids, want = np.arange(600), {}
+    for q in range(0, 600, 2):
+        order = np.lexsort((ids, np.sqrt(((x[q] - x) ** 2).sum(axis=1))))
+        want[q] = order[order != q][:10].tolist()
+    assert found(spark, x, n_books=2, n_codes=8, every=2) == want
+
+
 def test_block_bounds():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((700, 8)) * np.exp(rng.standard_normal((700, 1)) * 3)
