@@ -6,19 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import Semiring
-from arcloom.plans.iterate import settled
-from arcloom.sources.automaton import Automaton
+from arcloom.plans.iterate import PATIENCE, counted, settled
+from arcloom.sources.automaton import ARCS, Automaton
 
 from .compose import intersect
 from .distance import all_path_distances
 from .project import reverse
 
 
+def without_dead_ends(auto: Automaton) -> Automaton:
+    """auto without arcs to states that are not final and that no arc leaves, round by round while there are any, PATIENCE rounds at most:
+    such arcs are on no accepting path, and make branches of what are chains otherwise."""
+    ended = settled(auto.final.select("auto_id", F.col("state").alias("dst")).distinct())
+    arcs, n = counted(auto.arcs.select(*ARCS))
+    for _ in range(PATIENCE):
+        alive = arcs.select("auto_id", F.col("src").alias("dst")).unionByName(ended).distinct()
+        before = n
+        arcs, n = counted(arcs.join(alive, ["auto_id", "dst"], "left_semi").select(*ARCS))
+        if n == before:
+            break
+    return auto.with_arcs(arcs)
+
+
 def expected_counts(weighted: Automaton, template: Automaton) -> DataFrame:
     """(src, dst, label, weight) over the whole batch, not normalised: for each arc of the template the sum, over all paths of weighted and
     template together, of their weights, once for each time the arc is taken."""
     ring = weighted.ring
-    both = intersect(weighted, template)
+    both = without_dead_ends(intersect(weighted, template))
     ahead = all_path_distances(both).select("auto_id", F.col("state").alias("src"), F.col("weight").alias("ahead"))
     back = all_path_distances(reverse(both)).select("auto_id", F.col("state").alias("dst"), F.col("weight").alias("back"))
     arcs = both.arcs.join(settled(ahead), ["auto_id", "src"]).join(settled(back), ["auto_id", "dst"])
